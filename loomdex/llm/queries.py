@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import find_leaks, summary
 from .exact_dedup import radix_groups
+from .quality import score_quality
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -45,6 +46,10 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_groups(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_decontamination, op7_exact_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op3_decontamination, op5_quality, op7_exact_dedup, op8_token_counts)}
 
 
 def oracles() -> dict[str, str]:
