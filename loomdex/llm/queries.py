@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secrets
 from .common import table
 from .decontamination import find_leaks, summary
 from .exact_dedup import radix_groups
@@ -21,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -66,7 +71,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_decontamination, op5_quality, op7_exact_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op5_quality, op7_exact_dedup, op8_token_counts)}
 
 
 def oracles() -> dict[str, str]:
