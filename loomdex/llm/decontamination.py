@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, map_arrow, strings
+from .suffixes import sorted_suffixes
 from .words import WORD, words
 
 WINDOW, MANY_ITEMS = 8, 2
@@ -29,37 +30,6 @@ SPANS = "array<struct<start:int,end:int>>"
 SCHEMA = f"doc_id long, n_words long, hits {SPANS}, spans {SPANS}, items array<string>"
 
 
-def sorted_suffixes(text: np.ndarray) -> np.ndarray:
-    """The suffix array of `text`, which ends in 0. Each 0 counts as a symbol of its own, lowest, by position."""
-    n = len(text)
-    order = np.argsort(text, kind="stable")
-    first = np.ones(n, bool)
-    ranked = text[order]
-    first[1:] = (ranked[1:] != ranked[:-1]) | (ranked[1:] == 0)
-    start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = start
-    alone = first & np.append(first[1:], True)
-    open_ = order[~alone]
-    h = 1
-    while len(open_):
-        key = rank[open_] * n + rank[open_ + h]
-        by = np.argsort(key, kind="stable")
-        open_, key = open_[by], key[by]
-        group = key // n
-        m = np.arange(len(open_))
-        head = np.ones(len(open_), bool)
-        head[1:] = group[1:] != group[:-1]
-        slot = group + m - np.maximum.accumulate(np.where(head, m, 0))
-        order[slot] = open_
-        fresh = np.ones(len(open_), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        rank[open_] = slot[np.maximum.accumulate(np.where(fresh, m, 0))]
-        open_ = open_[~(fresh & np.append(fresh[1:], True))]
-        h *= 2
-    return order
-
-
 class WaveletMatrix:
     """Ranks of symbols in a sequence: by level from the highest bit, the running count of zero bits."""
 

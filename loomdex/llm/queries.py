@@ -12,6 +12,7 @@ from .common import table
 from .decontamination import find_leaks, summary
 from .exact_dedup import radix_groups
 from .quality import score_quality
+from .sentencepiece_codec import encode
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -51,6 +52,10 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,7 +76,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op5_quality, op7_exact_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_sentencepiece, op5_quality, op7_exact_dedup, op8_token_counts)}
 
 
 def oracles() -> dict[str, str]:
