@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import license_scan, secrets
 from .common import table
 from .decontamination import find_leaks, summary
 from .exact_dedup import radix_groups
@@ -75,8 +75,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.find_licenses(docs, license_scan.train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_sentencepiece, op5_quality, op7_exact_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_sentencepiece, op5_quality, op7_exact_dedup, op8_token_counts, op9_licenses)}
 
 
 def oracles() -> dict[str, str]:
