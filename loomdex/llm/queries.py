@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, secrets
+from . import license_scan, secrets, suffix_dedup
 from .common import table
 from .decontamination import find_leaks, summary
 from .exact_dedup import radix_groups
@@ -80,8 +80,12 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.find_licenses(docs, license_scan.train(docs))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.summary(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_sentencepiece, op5_quality, op7_exact_dedup, op8_token_counts, op9_licenses)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_sentencepiece, op5_quality, op7_exact_dedup, op8_token_counts, op9_licenses, op10_suffix_dedup)}
 
 
 def oracles() -> dict[str, str]:
