@@ -11,6 +11,7 @@ from . import license_scan, secrets, suffix_dedup
 from .common import table
 from .decontamination import find_leaks, summary
 from .exact_dedup import radix_groups
+from .near_dedup import near_duplicates
 from .quality import score_quality
 from .sentencepiece_codec import encode
 from .token_counts import count_tokens
@@ -60,6 +61,26 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, sides.b FROM r JOIN sides ON sides.a = r.reached)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(reached) AS component_id FROM r GROUP BY id) c USING (doc_id)
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_groups(table(spark, sf_dir, "documents"))
 
@@ -85,8 +106,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_sentencepiece, op5_quality, op7_exact_dedup, op8_token_counts, op9_licenses, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_decontamination, op4_sentencepiece, op5_quality, op6_near_dedup, op7_exact_dedup, op8_token_counts, op9_licenses, op10_suffix_dedup)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op3_decontamination": OP3_SQL, "op6_near_dedup": OP6_SQL, "op7_exact_dedup": OP7_SQL}
