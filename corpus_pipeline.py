@@ -1,4 +1,70 @@
-"""The corpus pipeline: stages that each take and give the documents table."""
+"""The corpus pipeline: from documents to token ids.
 
-STAGES: list = []
+Each stage takes what the one before kept, with the columns of documents, and is written as Parquet and read again before
+the next one. The last one gives the ids of the documents that are left.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from loomdex.llm.common import table
+from loomdex.llm.decontamination import decontaminate
+from loomdex.llm.exact_dedup import drop_exact_duplicates
+from loomdex.llm.near_dedup import drop_near_duplicates
+from loomdex.llm.quality import keep_good
+from loomdex.llm.sentencepiece_codec import encode
+
+MODEL = "piece_bpe_32k.model"
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return drop_exact_duplicates(docs)
+
+
+def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without contaminated documents, and without the benchmark's passages in the others."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left."""
+    return encode(docs, public_tokenizers.path(MODEL))
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("exact_dedup", distinct_documents),
+    ("near_dedup", dissimilar_documents),
+    ("decontamination", clean_documents),
+    ("sentencepiece", encoded_documents),
+]
+
+#: The classifier of the first stage is trained on the tables, which SQL cannot express.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents table; what each kept goes through Parquet in the shared folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomdex-pipeline-")
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

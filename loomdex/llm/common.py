@@ -35,6 +35,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: At most so many ids are broadcast.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in `dropped` (one column). Rows with a null id stay.
+
+    The ids are counted first: few of them are broadcast, so no text moves, and more are joined by a shuffle.
+    """
+    ids = cut(dropped.select(F.col(dropped.columns[0]).alias("__dropped")).where("__dropped is not null").distinct())
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs[id_col] == F.col("__dropped"), "left_anti")
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

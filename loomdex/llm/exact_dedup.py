@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, text_of, without
 
 FIRST_DIGIT, WIDEN = 64, 32
 REST = 2**31 - 1
@@ -52,5 +52,4 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all its columns, without the rows whose text stays with a larger id."""
-    dropped = radix_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped")), "left_anti")
+    return without(docs, id_col, radix_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"))

@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, cut, map_arrow, strings
+from .common import BROADCAST_IDS, Batches, cut, map_arrow, strings, without
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
 TREES, DEPTH, LEAST, WINDOW = 12, 8, 3, 16
 FIRST_TREES, FIRST_WINDOW = 2, 2
 AGREE = 0.70
-#: At most so many ids are broadcast to pick texts; beyond, texts are joined by a shuffle.
-BROADCAST_IDS = 500_000
 MIX, A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 FACTORS = (np.random.default_rng(17).integers(1, 1 << 63, TREES * DEPTH, np.uint64) << np.uint64(1)) | np.uint64(1)
 KEY = np.dtype(np.uint16)
@@ -241,5 +239,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all its columns, with the document of the least id of each component."""
-    dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    return without(docs, id_col, near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"))

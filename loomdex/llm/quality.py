@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_arrow, sample_by_hash, strings
+from .common import Batches, map_arrow, sample_by_hash, strings, without
 
 BLOCK, WIDTH, FILTERS = 128, 4, 8
 #: At most so many labelled rows, and bytes of each, train the model; bytes beyond are left out evenly by whole blocks.
@@ -237,5 +237,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all its columns, without the documents that the classifier rejects."""
-    rejected = score_quality(docs, labels, id_col=id_col, text_col=text_col).where("predicted = 0").select(F.col("doc_id").alias("__rejected"))
-    return docs.join(rejected, docs[id_col] == F.col("__rejected"), "left_anti")
+    return without(docs, id_col, score_quality(docs, labels, id_col=id_col, text_col=text_col).where("predicted = 0").select("doc_id"))
