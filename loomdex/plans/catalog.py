@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.plans import registry
+from loomdex.plans import document_queries, registry, table_queries, vector_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, registry.Query]:
@@ -16,4 +16,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.table(spark, sf_dir, "documents").groupBy("lang").count()
+    """The ten vectors nearest to vector 0 of two categories."""
+    return vector_queries.vector_topk_filtered(spark, sf_dir)
