@@ -242,9 +242,10 @@ class Codec:
             ends, edge, limit = ends[~good], edge[~good] + 1, limit[~good]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
         split = [parts_of(t) for t in texts if t]
+        if len(self.known) > CACHE_ENTRIES:  # keep what this batch needs, which the frequent ones are among
+            needed = {x for s in split for x in s}
+            self.known = {x: self.known[x] for x in needed if x in self.known}
         fresh = list({x for s in split for x in s if x not in self.known})
         if fresh:
             self.known.update(zip(fresh, self.solve(fresh), strict=True))
