@@ -187,6 +187,15 @@ def secret_value(rng: np.random.Generator) -> str:
     return "sk_live_" + pick(lower + upper + digit, 24)
 
 
+def unclear(line: str, secrets: list[tuple[int, int]]) -> bool:
+    """Whether a long mixed token that no pattern finds stands in the line: it may be a secret, so it teaches nothing."""
+    for m in TOKEN.finditer(line):
+        mixed = len(m[0]) >= 20 and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
+        if mixed and not any(s <= m.start() < e for s, e in secrets):
+            return True
+    return False
+
+
 def training_lines(texts: list[str], seed: int = 3) -> list[tuple[list[str], list[int], int]]:
     """(tokens, tags, file feature) of lines as they are, tagged by the fixed patterns, and with a secret written in."""
     rng = np.random.default_rng(seed)
@@ -198,8 +207,9 @@ def training_lines(texts: list[str], seed: int = 3) -> list[tuple[list[str], lis
             line, file = " ".join(lines[i].split(" ")[:TRAIN_TOKENS]), file_feature(text)
             secrets = [(s, e) for s, k, e in base_spans(line)]
             secrets = [(ASSIGN.match(line, s).start(2) if ASSIGN.match(line, s) else s, e) for s, e in secrets]
-            out.append((line, secrets, file))
-            if secrets or rng.random() < 0.4:
+            if not unclear(line, secrets):
+                out.append((line, secrets, file))
+            if secrets or unclear(line, secrets) or rng.random() < 0.4:
                 continue
             words_ = line.split(" ")
             at, value = int(rng.integers(0, len(words_) + 1)), secret_value(rng)
