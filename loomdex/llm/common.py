@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.shipping import ship
+
 #: One input table of the corpus.
 Batches = Iterator[pa.RecordBatch]
 
@@ -35,6 +39,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """df computed once into a table of the shared checkpoint folder, and read from there.
+
+    As cut(), but compressed and columnar: for what is large or repeats. Shuffles that only its plan needed go then. The
+    folder is removed when the application ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-checkpoint-"))
+        root = sc._jsc.sc().getCheckpointDir().get()
+    folder = f"{root.rstrip('/')}/tables-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    name = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    return spark.read.parquet(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the context cleaner drop the shuffle files of frames that are no longer referenced, instead of at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: At most so many ids are broadcast.
 BROADCAST_IDS = 500_000
 
@@ -72,4 +103,6 @@ def sample_by_hash(df: DataFrame, key: str, rows: int, salt: int = 7) -> DataFra
 
 
 def map_arrow(df: DataFrame, f: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """df.mapInArrow, with the package known to the workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(f, schema)
