@@ -3,15 +3,17 @@
 Each distinct set of shingles gets TREES * DEPTH minima. A tree orders all sets by DEPTH of them; the sets are sorted
 once for all trees, by ranges, so however many share a prefix they are dealt out evenly. Neighbours in an order are
 candidates while their common prefix is LEAST deep or more. In a sparse region those are all that share it; in a dense
-one the nearest WINDOW neighbours, which share the longest prefixes, and the first set of each enclosing region, at
-every depth: the depth adapts to the region. What stands at the ends of partitions meets in one small task.
+one the nearest WINDOW neighbours, which share the longest prefixes: the depth adapts to the region. A first round also takes
+the first set of each enclosing region, which links hot groups as a star. What stands at the ends of partitions meets in one small task.
 
-Equal sets are one node, so copies of a text are never compared. Two rounds keep hot groups linear: after a sparse
+Entries bring BESIDE further minima along, and candidates agree in BESIDE_AGREE of them, so sets that share no more
+than a common passage are no candidates. Equal sets are one node, so copies of a text are never compared. Two rounds keep hot groups linear: after a sparse
 first one, sets that are linked already are no candidates any more. Candidates whose whole signatures agree in a share
 of AGREE or more are confirmed on their full sets.
 
 A pair of similarity 0.85 shares the first LEAST minima of a tree with probability 0.61, and of at least one of 12 with
-more than 0.99998; its signatures agree in less than AGREE with probability below 0.0001.
+more than 0.99998; of further minima it shares too few with probability 0.001 in each tree, independently, and its
+whole signatures agree in less than AGREE with probability below 0.0001.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SHINGLE, PERCENT = 3, 85
 TREES, DEPTH, LEAST, WINDOW = 12, 8, 3, 16
 FIRST_TREES, FIRST_WINDOW = 2, 2
 AGREE = 0.70
+#: Minima of other trees that an entry brings along, and how many of them candidates have in common.
+BESIDE, BESIDE_AGREE = 16, 9
 MIX, A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 FACTORS = (np.random.default_rng(17).integers(1, 1 << 63, TREES * DEPTH, np.uint64) << np.uint64(1)) | np.uint64(1)
 KEY = np.dtype(np.uint16)
@@ -93,6 +97,7 @@ def neighbours(key: np.ndarray, tree: np.ndarray, size: np.ndarray, label: np.nd
     n = len(key)
     if n < 2:
         return np.zeros((2, 0), np.int64)
+    key, beside = key[:, :DEPTH], key[:, DEPTH:]
     differs = key[1:] != key[:-1]
     common = np.where(differs.any(axis=1), differs.argmax(axis=1), key.shape[1])
     common[tree[1:] != tree[:-1]] = 0
@@ -110,14 +115,16 @@ def neighbours(key: np.ndarray, tree: np.ndarray, size: np.ndarray, label: np.nd
         first = np.maximum.accumulate(np.where(common < d, at, 0))
         later = at[first < at]
         pairs.append(np.stack([first[later], later]))
-    a, b = np.concatenate(pairs, axis=1)
+    a, b = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
     good = (label[a] != label[b]) & (100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b]))
+    a, b = a[good], b[good]
+    good = (beside[a] == beside[b]).sum(axis=1) >= BESIDE_AGREE
     return np.unique(np.stack([a[good], b[good]]), axis=1)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     n = batch.num_rows
-    key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(n, DEPTH).astype(KEY)
+    key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(n, DEPTH + BESIDE).astype(KEY)
     return key, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "rep", "n", "label"))
 
 
@@ -153,7 +160,7 @@ def candidates(entries: DataFrame, window: int, depths: tuple[int, ...]) -> Data
                 if len(out):
                     yield rows(rep[out], None, tree[out], [key[i].astype(">u2").tobytes() for i in out], n[out], label[out])
             # The heads of the regions that the last row is in, then the window.
-            differs = (key != key[-1]) | (tree != tree[-1])[:, None]
+            differs = (key[:, :DEPTH] != key[-1, :DEPTH]) | (tree != tree[-1])[:, None]
             common = np.where(differs.any(axis=1), differs.argmax(axis=1), DEPTH)
             heads = {int(np.argmax(common >= d)) for d in depths if common[-1] >= d}
             kept = sorted(heads | set(range(max(0, len(rep) - window), len(rep))))
@@ -225,11 +232,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = reps.select("rep", "n", "sign", F.col("rep").alias("label"))
         if labels is not None:
             own = own.drop("label").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", "sign", F.coalesce("component", "rep").alias("label"))
-        return own.select("rep", "n", "label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sign").withColumn("key", F.substring("sign", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))).drop("sign")
+        return own.select("rep", "n", "label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sign").withColumn("key", F.substring(F.concat("sign", F.substring("sign", 1, 2 * BESIDE)), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * (DEPTH + BESIDE)))).drop("sign")
 
     first = cut(links(candidates(entries(None, FIRST_TREES), FIRST_WINDOW, (LEAST, DEPTH)), reps, source))
     labels = components(first)
-    second = links(candidates(entries(labels, TREES), WINDOW, tuple(range(LEAST, DEPTH + 1))), reps, source)
+    second = links(candidates(entries(labels, TREES), WINDOW, ()), reps, source)
     found = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     classes = reps.select("rep", F.explode("digests").alias("digest")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n", "digest").join(classes, "digest", "left")
