@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, cut, map_arrow, text_bytes
+from .common import Batches, map_arrow, release, store, text_bytes
 from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 100, 16
@@ -245,13 +245,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
-    every = map_arrow(source.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text"), _runs_of, "least long, doc long, th long, start int, size int, weight int")
-    again = every.groupBy("least").agg(F.sum("weight").alias("n")).where("n > 1").select("least")
-    held = every.join(again, "least", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("least", "start", "size", "weight")).alias("runs"))
-    found = map_arrow(source.join(held, ["doc", "th"]).select("doc", "th", F.encode("text", "UTF-8").alias("raw"), "runs"), _bytes_of, "least long, digest binary, doc long, th long, start int, size int, weight int, run binary")
-    found = cut(found)
-    first = found.groupBy("least", "digest").agg(F.min(F.struct("doc", "start", "th")).alias("first"), F.max("weight").alias("weight"), F.max("run").alias("run"))
-    first = cut(first.select("least", "digest", "first.*", "weight", "run"))
+    found = repeated_runs(source)
+    release(docs.sparkSession)
+    first = first_runs(found)
+    release(docs.sparkSession)
     early = first.select("least", "digest", F.col("doc").alias("doc0"), F.col("start").alias("start0"))
     later = found.select("least", "digest", "doc", "th", "start", "size").join(early, ["least", "digest"]).where("doc != doc0 or start != start0")
     later = later.select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"))
@@ -261,6 +258,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_arrow(source.join(by_doc, ["doc", "th"], "left").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "spans"), _cut_spans, "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
 
 
+def repeated_runs(source: DataFrame) -> DataFrame:
+    """The runs whose minimizer occurs again, with their bytes."""
+    every = map_arrow(source.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text"), _runs_of, "least long, doc long, th long, start int, size int, weight int")
+    again = every.groupBy("least").agg(F.sum("weight").alias("n")).where("n > 1").select("least")
+    held = every.join(again, "least", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("least", "start", "size", "weight")).alias("runs"))
+    return store(map_arrow(source.join(held, ["doc", "th"]).select("doc", "th", F.encode("text", "UTF-8").alias("raw"), "runs"), _bytes_of, "least long, digest binary, doc long, th long, start int, size int, weight int, run binary"))
+
+
+def first_runs(found: DataFrame) -> DataFrame:
+    """The distinct runs of a minimizer, each where it starts first."""
+    first = found.groupBy("least", "digest").agg(F.min(F.struct("doc", "start", "th")).alias("first"), F.max("weight").alias("weight"), F.max("run").alias("run"))
+    return store(first.select("least", "digest", "first.*", "weight", "run"))
+
+
 def summary(found: DataFrame) -> DataFrame:
     """The digest columns of remove_repeats()'s rows."""
     return found.select("doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (n, x) -> n + x.end - x.start)").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
