@@ -245,7 +245,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = repeated_runs(source)
+    held = repeated_positions(source)
+    release(docs.sparkSession)
+    found = repeated_runs(source, held)
     release(docs.sparkSession)
     first = first_runs(found)
     release(docs.sparkSession)
@@ -258,11 +260,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_arrow(source.join(by_doc, ["doc", "th"], "left").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "spans"), _cut_spans, "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
 
 
-def repeated_runs(source: DataFrame) -> DataFrame:
-    """The runs whose minimizer occurs again, with their bytes."""
+def repeated_positions(source: DataFrame) -> DataFrame:
+    """The runs of each document whose minimizer occurs again."""
     every = map_arrow(source.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text"), _runs_of, "least long, doc long, th long, start int, size int, weight int")
     again = every.groupBy("least").agg(F.sum("weight").alias("n")).where("n > 1").select("least")
-    held = every.join(again, "least", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("least", "start", "size", "weight")).alias("runs"))
+    return store(every.join(again, "least", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("least", "start", "size", "weight")).alias("runs")))
+
+
+def repeated_runs(source: DataFrame, held: DataFrame) -> DataFrame:
+    """Those runs with their bytes."""
     return store(map_arrow(source.join(held, ["doc", "th"]).select("doc", "th", F.encode("text", "UTF-8").alias("raw"), "runs"), _bytes_of, "least long, digest binary, doc long, th long, start int, size int, weight int, run binary"))
 
 
