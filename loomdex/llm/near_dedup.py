@@ -2,30 +2,34 @@
 
 Each distinct set of shingles gets TREES * DEPTH minima. A tree orders all sets by DEPTH of them; the sets are sorted
 once for all trees, by ranges, so however many share a prefix they are dealt out evenly. Neighbours in an order are
-candidates while their common prefix is LEAST deep or more. In a sparse region those are all that share it; in a dense
-one the nearest WINDOW neighbours, which share the longest prefixes: the depth adapts to the region. A first round also takes
-the first set of each enclosing region, which links hot groups as a star. What stands at the ends of partitions meets in one small task.
+candidates while their common prefix is LEAST deep or more. In a region of at most WINDOW + 1 sets those are all that
+share it. What stands at the ends of partitions meets in one small task. A dense region, of more sets, is compared as a
+whole: all its pairs of different labels, on their full sets, by chunks of bounded size that meet in tasks of their own.
+
+A first round links neighbours and, as a star, the first set of each enclosing region; sets of one component then have
+one label, and what has the commonest label of a dense region is compared only with what has another one. A task gives a
+forest of the links it finds, so what goes on is linear in the sets however alike they are.
 
 Entries bring BESIDE further minima along, and candidates agree in BESIDE_AGREE of them, so sets that share no more
-than a common passage are no candidates. Equal sets are one node, so copies of a text are never compared. Two rounds keep hot groups linear: after a sparse
-first one, sets that are linked already are no candidates any more. Candidates whose whole signatures agree in a share
-of AGREE or more are confirmed on their full sets.
+than a common passage are no candidates. Equal sets are one node, so copies of a text are never compared. Candidates
+whose whole signatures agree in a share of AGREE or more are confirmed on their full sets.
 
 A pair of similarity 0.85 shares the first LEAST minima of a tree with probability 0.61, and of at least one of 12 with
 more than 0.99998; of further minima it shares too few with probability 0.001 in each tree, independently, and its
-whole signatures agree in less than AGREE with probability below 0.0001.
+whole signatures agree in less than AGREE with probability below 0.0001. Dense regions use neither of these two filters.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Batches, cut, map_arrow, strings, without
+from .common import BROADCAST_IDS, Batches, cut, map_arrow, release, strings, without
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -37,6 +41,10 @@ BESIDE, BESIDE_AGREE = 16, 9
 MIX, A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 FACTORS = (np.random.default_rng(17).integers(1, 1 << 63, TREES * DEPTH, np.uint64) << np.uint64(1)) | np.uint64(1)
 KEY = np.dtype(np.uint16)
+#: A chunk of a dense region has about so many sets, and shingles, at most.
+CHUNK, CHUNK_SHINGLES = 1024, 2_000_000
+#: Cells of the matrices of a comparison of chunks at a time.
+CELLS = 8_000_000
 
 
 class Shingles(dict):
@@ -93,7 +101,10 @@ def _sketch(batches: Batches) -> Batches:
 
 
 def neighbours(key: np.ndarray, tree: np.ndarray, size: np.ndarray, label: np.ndarray, window: int, depths: tuple[int, ...]) -> np.ndarray:
-    """Candidate rows (earlier, later) among sorted rows of minima: near ones, and the first of each region."""
+    """Candidate rows (earlier, later) among sorted rows of minima: near ones, and the first of each region.
+
+    Without depths, regions of more than window + 1 rows are left to dense_links().
+    """
     n = len(key)
     if n < 2:
         return np.zeros((2, 0), np.int64)
@@ -103,12 +114,14 @@ def neighbours(key: np.ndarray, tree: np.ndarray, size: np.ndarray, label: np.nd
     common[tree[1:] != tree[:-1]] = 0
     common = np.concatenate([[0], common])  # with the row before
     at = np.arange(n)
+    region = np.cumsum(common < LEAST)
+    sparse = np.ones(n, bool) if depths else np.bincount(region)[region] <= window + 1
     pairs, shared = [], common.copy()
     for lag in range(1, window + 1):
         if lag > 1:
             shared = np.concatenate([[0], np.minimum(shared[:-1], common[1:])])
-        later = at[shared >= LEAST]
-        if not len(later):
+        later = at[(shared >= LEAST) & sparse]
+        if not (shared >= LEAST).any():
             break
         pairs.append(np.stack([later - lag, later]))
     for d in depths:
@@ -213,6 +226,92 @@ def links(pairs: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
     return map_arrow(likely.join(first, "a").join(second, "b").select("a", "b", "x", "y"), _confirm, "a long, b long").distinct()
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Some of the edges (a, b), which connect what all of them do."""
+    root: dict[int, int] = {}
+    out = []
+    for edge in np.unique(np.stack([a, b]), axis=1).T.tolist():
+        ends = []
+        for x in edge:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            ends.append(x)
+        if ends[0] != ends[1]:
+            root[max(ends)] = min(ends)
+            out.append((edge[0], edge[1]))
+    return out
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets of the left are linked with which of the right (a matrix of bools), by the sizes of all intersections."""
+    sizes = [np.array([len(s) for s in x], np.int64) for x in (left, right)]
+    words = np.intersect1d(np.concatenate(left), np.concatenate(right))  # what only one side holds is in no intersection
+    at = []
+    for x, size in zip((left, right), sizes, strict=True):
+        flat = np.concatenate(x)
+        place = np.searchsorted(words, flat)
+        held = np.isin(flat, words)
+        row, col = np.repeat(np.arange(len(x)), size)[held], place[held]
+        order = np.argsort(col, kind="stable")
+        at.append((row[order], col[order]))
+    both = np.zeros((len(left), len(right)), np.float32)
+    step = max(1, CELLS // max(len(left), len(right)))
+    for lo in range(0, len(words), step):
+        sides = []
+        for (row, col), x in zip(at, (left, right), strict=True):
+            i, j = np.searchsorted(col, [lo, lo + step])
+            m = np.zeros((len(x), min(step, len(words) - lo)), np.float32)
+            m[row[i:j], col[i:j] - lo] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    both = both.astype(np.int64)
+    return 100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def _compare(group: pa.Table) -> pa.Table:
+    """A forest of the links of two chunks, or within one, between labels."""
+    chunk = group.column("chunk").to_numpy()
+    label = group.column("label").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    a = b = np.zeros(0, np.int64)
+    if len(left) and len(right):
+        linked = alike([sets[k] for k in left], [sets[k] for k in right]) & (label[left][:, None] != label[right][None, :])
+        x, y = np.nonzero(linked)
+        a, b = label[left[x]], label[right[y]]
+    edges = forest(np.minimum(a, b), np.maximum(a, b))
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+
+def dense_links(entries: DataFrame, source: DataFrame) -> DataFrame | None:
+    """Links (a, b) of labels by all pairs of the regions of entries with more than WINDOW + 1 sets; None if there are none.
+
+    Chunks 0, 1, ... hold the sets whose label is not the commonest of their region, and -1, -2, ... those whose label it
+    is. Each of the former meets every chunk.
+    """
+    own = entries.select("tree", F.substring("key", 1, 2 * LEAST).alias("region"), "rep", "n", "label")
+    regions = own.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
+    regions = cut(regions.where((F.col("sets") > WINDOW + 1) & (F.col("low") != F.col("high"))).select("tree", "region"))
+    if regions.isEmpty():
+        return None
+    rows = cut(own.join(regions, ["tree", "region"]))
+    by_label = rows.groupBy("tree", "region", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
+    parts = lambda sets, size: F.greatest(F.lit(1), F.ceil(sets / CHUNK), F.ceil(size / CHUNK_SHINGLES)).cast("int")
+    most = by_label.groupBy("tree", "region").agg(F.max(F.struct("sets", "label", "size")).alias("m"), F.sum("sets").alias("sets"), F.sum("size").alias("size"))
+    most = most.select("tree", "region", F.col("m.label").alias("common"), parts(F.col("m.sets"), F.col("m.size")).alias("same"), parts(F.col("sets") - F.col("m.sets"), F.col("size") - F.col("m.size")).alias("other"))
+    ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    # Rows that repeat an id are one document: of one set.
+    sets = map_arrow(source.join(F.broadcast(ids) if few else ids, "doc_id"), _sets, "id long, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles"))
+    dealt = rows.join(most, ["tree", "region"]).withColumn("chunk", F.when(F.col("label") == F.col("common"), -1 - F.pmod(F.xxhash64("rep"), F.col("same"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("other"))).cast("int"))
+    meet = F.when(F.col("chunk") < 0, F.expr("transform(sequence(0, other - 1), x -> struct(x as i, chunk as j))")).otherwise(
+        F.expr("concat(transform(sequence(0, other - 1), x -> struct(least(x, chunk) as i, greatest(x, chunk) as j)), transform(sequence(1, same), x -> struct(chunk as i, -x as j)))")
+    )
+    dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").select("tree", "region", "label", "chunk", "shingles", F.inline(meet))
+    return cut(dealt.groupBy("tree", "region", "i", "j").applyInArrow(_compare, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -228,16 +327,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sign")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sign")
     reps = cut(reps.groupBy("rep").agg(F.min(F.struct("digest", "n", "sign")).alias("r"), F.collect_set("digest").alias("digests")).select("rep", "r.n", "r.sign", "digests"))
 
-    def entries(labels: DataFrame | None, trees: int) -> DataFrame:
+    def entries(labels: DataFrame | None, trees: range) -> DataFrame:
         own = reps.select("rep", "n", "sign", F.col("rep").alias("label"))
         if labels is not None:
             own = own.drop("label").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", "sign", F.coalesce("component", "rep").alias("label"))
-        return own.select("rep", "n", "label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sign").withColumn("key", F.substring(F.concat("sign", F.substring("sign", 1, 2 * BESIDE)), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * (DEPTH + BESIDE)))).drop("sign")
-
-    first = cut(links(candidates(entries(None, FIRST_TREES), FIRST_WINDOW, (LEAST, DEPTH)), reps, source))
-    labels = components(first)
-    second = links(candidates(entries(labels, TREES), WINDOW, ()), reps, source)
-    found = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
+        return own.select("rep", "n", "label", F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1]))).alias("tree"), "sign").withColumn("key", F.substring(F.concat("sign", F.substring("sign", 1, 2 * BESIDE)), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * (DEPTH + BESIDE)))).drop("sign")
+
+    def joined(labels: DataFrame, *more: DataFrame | None) -> DataFrame:
+        new = [x for x in more if x is not None]
+        out = components(reduce(DataFrame.unionByName, new, labels.select(F.col("node").alias("a"), F.col("component").alias("b")))) if new else labels
+        release(docs.sparkSession)
+        return out
+
+    labels = components(links(candidates(entries(None, range(FIRST_TREES)), FIRST_WINDOW, (LEAST, DEPTH)), reps, source))
+    release(docs.sparkSession)
+    # The first tree's dense regions alone leave few labels in hot groups for those of the others.
+    labels = joined(labels, links(candidates(entries(labels, range(TREES)), WINDOW, ()), reps, source), dense_links(entries(labels, range(1)), source))
+    found = joined(labels, dense_links(entries(labels, range(1, TREES)), source))
     classes = reps.select("rep", F.explode("digests").alias("digest")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

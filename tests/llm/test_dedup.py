@@ -94,6 +94,29 @@ def test_near_duplicates_in_a_hot_group(spark):
     assert found == truth
 
 
+def test_near_duplicates_of_pairs_at_the_threshold_in_a_hot_group(spark):
+    """Sets of regions of hundreds, most pairs a little below 0.85 and a few of each set at it or above: no link is lost."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in rng.permutation(500).tolist():
+        words = [f"b{k}" for k in range(1500)]
+        for k in rng.choice(1500, 23, replace=False):
+            words[k] = f"v{i}k{k}"
+        rows.append((i, " ".join(words)))
+    sets = [set(zip(w, w[1:], w[2:])) for w in (t.split() for _, t in rows)]
+    names = {g: k for k, g in enumerate(set().union(*sets))}
+    held = np.zeros((len(rows), len(names)), np.float32)
+    for k, own in enumerate(sets):
+        held[k, [names[g] for g in own]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    label = np.array([i for i, _ in rows])
+    for x, y in zip(*np.nonzero(100 * both >= 85 * (size[:, None] + size - both)), strict=True):
+        label[label == max(label[x], label[y])] = min(label[x], label[y])
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert 1 < len(set(label)) < len(rows)
+    assert found == {i: c for (i, _), c in zip(rows, label.tolist(), strict=True)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (7, 7)] + [(200, x) for x in range(201, 230)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
