@@ -59,6 +59,15 @@ def test_near_pairs(spark):
     assert [(r.a, r.b) for r in documents.exact_pairs(df).collect()] == [(1, 2)]
 
 
+def test_near_pairs_of_unequal_length(spark):
+    """85 of the shorter one's 92 shingles are shared; the longer one has 15 of its own, more than its first 9."""
+    same = [f"s{i}" for i in range(89)]
+    short, long = " ".join(same + [f"a{i}" for i in range(7)]), " ".join(same + [f"b{i}" for i in range(15)])
+    for rows in ([(1, short), (2, long)], [(1, long), (2, short)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert [(r.a, r.b, r.overlap) for r in documents.near_pairs(df).collect()] == [(1, 2, round(85 / 92, 6))]
+
+
 @pytest.mark.parametrize(
     "inputs,rows,decision",
     [
