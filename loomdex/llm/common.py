@@ -66,6 +66,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: The key of a row within a stage.
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a long key of each row, stored, so that every use of it sees the same keys."""
+    return store(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 #: At most so many ids are broadcast.
 BROADCAST_IDS = 500_000
 

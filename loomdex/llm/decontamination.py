@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_arrow, strings
+from .common import ROW, Batches, keyed, map_arrow, strings
 from .suffixes import sorted_suffixes
 from .words import WORD, words
 
@@ -251,9 +251,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     All columns stay; where passages go, the text closes up with a space. Documents without hits are unchanged.
     """
-    found = find_leaks(docs, benchmark, id_col, text_col).where("size(spans) > 0").select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"), F.col("items").alias("__items"))
-    found = found.dropDuplicates(["__doc"])
-    left = docs.join(found, docs[id_col] == F.col("__doc"), "left").where(f"coalesce(size(__items) < {MANY_ITEMS}, true)")
+    rows = keyed(docs)
+    found = find_leaks(rows, benchmark, ROW, text_col).where("size(spans) > 0").select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"), F.col("items").alias("__items"))
+    left = rows.join(found, rows[ROW] == F.col("__doc"), "left").where(f"coalesce(size(__items) < {MANY_ITEMS}, true)")
     pieces = f"""array_join(transform(sequence(0, size(__spans)), i -> substring(`{text_col}`,
         if(i = 0, 1, element_at(__spans, i).end + 1),
         if(i = size(__spans), length(`{text_col}`), element_at(__spans, i + 1).start - if(i = 0, 0, element_at(__spans, i).end)))), ' ')"""

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of, without
+from .common import ROW, cut, keyed, text_of, without
 
 FIRST_DIGIT, WIDEN = 64, 32
 REST = 2**31 - 1
@@ -51,5 +51,9 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all its columns, without the rows whose text stays with a larger id."""
-    return without(docs, id_col, radix_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"))
+    """docs, with all its columns, with one row of each text: one of the largest id. A null id ranks below every other."""
+    rows = keyed(docs)
+    same = radix_groups(rows, ROW, text_col).where("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("__group"))
+    same = cut(same.join(rows.select(ROW, F.col(id_col).alias("__id")), ROW))
+    stay = same.groupBy("__group").agg(F.max(F.struct("__id", ROW)).alias("m")).select(F.col(f"m.{ROW}").alias(ROW))
+    return without(rows, ROW, same.select(ROW).join(stay, ROW, "left_anti")).select(*docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Batches, cut, map_arrow, release, strings, without
+from .common import BROADCAST_IDS, ROW, Batches, cut, keyed, map_arrow, release, strings, without
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -351,5 +351,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all its columns, with the document of the least id of each component."""
-    return without(docs, id_col, near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"))
+    """docs, with all its columns, with one row of each component: one of the least id. A null id ranks behind every other.
+
+    Each row is a document of its own, also where ids repeat or are null.
+    """
+    rows = keyed(docs)
+    found = near_duplicates(rows, ROW, text_col).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__group"))
+    found = cut(found.join(rows.select(ROW, F.col(id_col).alias("__id")), ROW))
+    stay = found.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", ROW)).alias("m")).select(F.col(f"m.{ROW}").alias(ROW))
+    return without(rows, ROW, found.select(ROW).join(stay, ROW, "left_anti")).select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_arrow, sample_by_hash, strings, without
+from .common import ROW, Batches, keyed, map_arrow, sample_by_hash, strings, without
 
 BLOCK, WIDTH, FILTERS = 128, 4, 8
 #: At most so many labelled rows, and bytes of each, train the model; bytes beyond are left out evenly by whole blocks.
@@ -212,15 +212,16 @@ def training_texts(docs: DataFrame, labelled: DataFrame, rows: int) -> list[tupl
     return [x[1:] for x in sorted((r.doc_id, bytes(r.text), r.label) for r in found.toLocalIterator())]
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, cut: float = CUT) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, cut: float = CUT, key_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher: better), predicted (score >= cut).
 
     labels: doc_id and quality; rows whose crc32(doc_id as text) mod folds is `held` never train. Null labels and ids
     are left out; of several labels of one id the largest counts. Null and empty texts have all features at 0. A
     document with a null id is scored, with held_out false. Without four rows of each label every score is 1, so
-    nothing is rejected. Only the text makes a score.
+    nothing is rejected. Only the text makes a score. With key_col, doc_id is that column, and id_col serves the labels only.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(key_col or id_col).cast("long").alias("key"))
+    source = keys.drop("key")
     out = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
     labelled = labels.where(~out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
     shared = docs.sparkSession.sparkContext.broadcast(train(training_texts(source, labelled, rows), cut))
@@ -232,9 +233,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
             score = net.score(texts) if net else np.ones(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return map_arrow(source.select("doc_id", out("doc_id").alias("held_out"), "text"), run, SCHEMA)
+    return map_arrow(keys.select(F.col("key").alias("doc_id"), out("doc_id").alias("held_out"), "text"), run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all its columns, without the documents that the classifier rejects."""
-    return without(docs, id_col, score_quality(docs, labels, id_col=id_col, text_col=text_col).where("predicted = 0").select("doc_id"))
+    rows = keyed(docs)
+    scored = score_quality(rows, labels, id_col=id_col, text_col=text_col, key_col=ROW)
+    return without(rows, ROW, scored.where("predicted = 0").select("doc_id")).select(*docs.columns)
