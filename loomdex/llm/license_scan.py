@@ -79,6 +79,18 @@ def training_set(negatives: list[str], seed: int = 11) -> list[tuple[list[str],
     return out
 
 
+#: A line end within a hard-wrapped paragraph: behind a line of 40 to 119 characters that ends no sentence, and before one
+#: that holds more than comment marks. Marks themselves are no words.
+WRAP = r"""(?<=[^\n]{39}[^\s.:;!?])(?<![.:;!?]["')\]])(?<![^\n]{120})[ \t\r]*\n(?=[^\n]*[^\s#*/;%!<>-])"""
+
+
+def paragraphs(text: Column) -> Column:
+    """Structs of paragraph (the number of its first line, from 0) and line (its lines, joined by spaces)."""
+    marked = F.regexp_replace(F.translate(text, "\1", " "), WRAP, "\n\1")
+    first = F.filter(F.transform(F.split(marked, "\n"), lambda x, i: F.when(~F.startswith(x, F.lit("\1")), i)), lambda i: i.isNotNull())
+    return F.arrays_zip(first.alias("paragraph"), F.split(F.regexp_replace(marked, "\n\1", " "), "\n").alias("line"))
+
+
 def constant(value: object, kind: str) -> Column:
     """A list or dict as one literal of the plan."""
     return F.from_json(F.lit(json.dumps(value)), kind)
@@ -144,12 +156,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
 def find_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", confirm: float = CONFIRM) -> DataFrame:
     """One row per paragraph that is a licence notice: doc_id, paragraph (from 0), family, probability, similarity, confirmed.
 
-    A paragraph is a line. family is `unknown` for a notice of no known family, and for one whose probability is below
+    A paragraph is a line, or the lines of a hard-wrapped one (WRAP), and has the number of its first line. family is `unknown` for a notice of no known family, and for one whose probability is below
     the calibrated cut. similarity is the largest share of a template's distinct words that the paragraph holds, over the
     family's templates (0 for unknown); confirmed says that it is at least `confirm`. Null and empty texts have no
     notices; repeated rows give theirs each; null ids stay null; extra columns are not read.
     """
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("paragraph", "line"))
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline(paragraphs(F.coalesce(F.col(text_col), F.lit("")))).alias("paragraph", "line"))
     single = sorted({w for g in model.features for w in g.split(" ")})
     rare = [w for w in single if w in set(model.features)]
     if not all(any(w in rare for w in g.split(" ")) for g in model.features):

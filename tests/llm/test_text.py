@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -138,6 +139,19 @@ def test_viterbi_is_the_best_path():
         assert tuple(tags[i, :n]) == max(itertools.product(range(3), repeat=int(n)), key=score)
 
 
+def test_licenses_of_wrapped_notices(spark, docs):
+    """Each template of more than a line, wrapped at 72 columns behind comment marks, is one confirmed notice of its family."""
+    model = license_scan.train(docs)
+    notices = [(f, t) for f in ("agpl", "gpl", "lgpl", "bsd", "mit") for t in license_scan.TEMPLATES[f] if len(t) > 100]
+    rows, truth = [], []
+    for i, (family, t) in enumerate(notices):
+        for k, mark in enumerate(("", "# ", " * ", "// ")):
+            rows.append((10 * i + k, "\n".join(["import os", mark.rstrip(), *(mark + x for x in textwrap.wrap(t, 72 - len(mark))), mark.rstrip(), "code()"])))
+            truth.append((10 * i + k, 2, family, True))
+    found = license_scan.find_licenses(frame(spark, rows), model).collect()
+    assert len(notices) == 5 and sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in found) == truth
+
+
 def test_licenses(spark, docs, texts, odd, none):
     model = license_scan.train(docs)
     found = {(r.doc_id, r.paragraph): r for r in license_scan.find_licenses(docs, model).collect()}
