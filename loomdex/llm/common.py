@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,43 +27,60 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is set, one is made, but only for a master that runs on this machine alone."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root and sc._jsc.sc().getCheckpointDir().isDefined():
+        root = sc._jsc.sc().getCheckpointDir().get()
+    if not root:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
+        root = tempfile.mkdtemp(prefix="loomdex-checkpoint-")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+#: Drops the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what is written in here go at its end: nothing else reads them. If an executor is lost meanwhile, Spark makes them anew."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once into the shared checkpoint folder, its lineage cut there.
 
-    The folder is that of spark.checkpoint.dir; one is set only where none is, as in tests.
     Files go when the frame is no longer referenced, if the session's cleaner is set so.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomdex-checkpoint-"))
-    return df.checkpoint(eager=True)
+    _shared_folder(df.sparkSession)
+    with shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> DataFrame:
     """df computed once into a table of the shared checkpoint folder, and read from there.
 
-    As cut(), but compressed and columnar: for what is large or repeats. Shuffles that only its plan needed go then. The
-    folder is removed when the application ends.
+    As cut(), but compressed and columnar: for what is large or repeats. The folder is removed when the application ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-checkpoint-"))
-        root = sc._jsc.sc().getCheckpointDir().get()
-    folder = f"{root.rstrip('/')}/tables-{sc.applicationId}"
+    folder = f"{_shared_folder(spark)}/tables-{sc.applicationId}"
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     name = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(name)
-    return spark.read.parquet(name)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets the context cleaner drop the shuffle files of frames that are no longer referenced, instead of at some later time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with shuffles_dropped(spark):
+        df.write.parquet(name)
+    return spark.read.schema(df.schema).parquet(name)
 
 
 #: The key of a row within a stage.

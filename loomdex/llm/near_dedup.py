@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, ROW, Batches, cut, keyed, map_arrow, release, strings, without
+from .common import BROADCAST_IDS, ROW, Batches, cut, keyed, map_arrow, strings, without
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -336,11 +336,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def joined(labels: DataFrame, *more: DataFrame | None) -> DataFrame:
         new = [x for x in more if x is not None]
         out = components(reduce(DataFrame.unionByName, new, labels.select(F.col("node").alias("a"), F.col("component").alias("b")))) if new else labels
-        release(docs.sparkSession)
         return out
 
     labels = components(links(candidates(entries(None, range(FIRST_TREES)), FIRST_WINDOW, (LEAST, DEPTH)), reps, source))
-    release(docs.sparkSession)
     # The first tree's dense regions alone leave few labels in hot groups for those of the others.
     labels = joined(labels, links(candidates(entries(labels, range(TREES)), WINDOW, ()), reps, source), dense_links(entries(labels, range(1)), source))
     found = joined(labels, dense_links(entries(labels, range(1, TREES)), source))

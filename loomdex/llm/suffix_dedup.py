@@ -3,37 +3,49 @@
 Each window of LENGTH bytes belongs to its minimizer: the least hash of the GRAM-byte strings in it. Consecutive windows
 with the same minimizer form a run; equal windows lie in runs of the same minimizer, wherever they are. So:
 
-1. each task cuts its documents into runs (a few numbers each); minimizers that occur once are dropped by a semi-join;
-2. the bytes of the runs left over are fetched, and equal runs are pre-aggregated to the one that starts first. Every
-   other occurrence of an equal run starts later as a whole, so all its windows go;
-3. the distinct runs are dealt out by minimizer. Each task builds the Burrows-Wheeler transform of shards of them and
-   derives the common prefixes of neighbouring suffixes by increasing value, by breadth-first backward extension of
-   intervals, stopping at LENGTH. What has no boundary by then are the sets of equal windows; of each, all but the one
-   that starts first go;
-4. spans meet their document, overlap is merged, and the bytes are cut.
-
-A hot passage is one run for each of its distinct surroundings after step 2, whose aggregate combines on the map side;
-the joins are plain equi-joins, which the adaptive planner splits where a key is hot.
+1. each task cuts its documents into runs; minimizers are counted by their hash alone, combined on the map side, and those
+   that occur once are dropped by a semi-join;
+2. equal runs shrink to the one that starts first and a mark that there are more (many), by a digest; the list of all their
+   places is kept. Only the first one's bytes are fetched;
+3. runs are dealt out by minimizer. Each task builds the Burrows-Wheeler transform of shards of them and derives the common
+   prefixes of neighbouring suffixes by increasing value, by breadth-first backward extension of intervals, stopping at
+   LENGTH. What has no boundary by then are the sets of equal windows. They decide all: where the run starts first, the
+   windows go that have an earlier place in their set; at its other places, those whose set has the run's first place;
+4. a minimizer of more than HOT distinct runs (a passage in very many surroundings) is dealt out again, by windows: equal
+   ones shrink to the first by a digest, and go to shards by that digest, so no shard holds more than its bound;
+5. spans meet their document through the list of places, overlap is merged, and the bytes are cut.
+
+Aggregates combine on the map side; joins are plain equi-joins, which the adaptive planner splits where a key is hot.
+Tables between the steps are stored in the shared folder, and their shuffles are dropped as they end.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_arrow, release, store, text_bytes
+from .common import Batches, map_arrow, store, text_bytes
 from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 100, 16
-SHARD_BYTES = 2 << 20
+SHARD_BYTES, HOT = 1 << 20, 6_000
+#: Windows that are hashed at a time.
+STEP = 1 << 18
 NO_ID = -(1 << 63)
 SYMBOL_BITS, PACKED = 9, 6
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= M1
+    return h ^ (h >> np.uint64(29))
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -41,10 +53,19 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     w = data.astype(np.uint64)
     for k in (1, 2, 4):
         w = w[:-k] | (w[k:] << np.uint64(8 * k))
-    h = (w[:-8] * M1) ^ ((w[8:] * M2) >> np.uint64(7)) ^ (w[8:] * M2)
-    h ^= h >> np.uint64(32)
-    h *= M1
-    return h ^ (h >> np.uint64(29))
+    return mixed((w[:-8] * M1) ^ ((w[8:] * M2) >> np.uint64(7)) ^ (w[8:] * M2))
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse, modulo 2 ** 64."""
+    base = int(M2) | 1
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -55,38 +76,54 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :]) if width > span else h
 
 
-def runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, start, bytes, weight) of the runs of windows of a text.
+def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, minimizer, digest, start, bytes, weight) of the runs of windows of texts, whose bytes go from at[i] to at[i + 1].
 
     The weight is 2 where a run may hold equal windows itself. Those would repeat with a period, so the minimizing string
-    would stand at some window's own start other than the last one's.
+    would stand at some window's own start other than the last one's. A run goes no further than STEP windows are hashed at
+    once, which may part it in two.
+    """
+    owner = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    up, down = powers(STEP + length)
+    out = []
+    for lo in range(0, len(data) - length + 1, STEP):
+        h = gram_hashes(data[lo : lo + STEP + length - 1])
+        least = sliding_min(h, length - GRAM + 1)
+        n = len(least)
+        text = owner[lo : lo + n]
+        whole = text == owner[lo + length - 1 : lo + length - 1 + n]
+        head = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (whole[1:] != whole[:-1])))
+        end = np.append(head[1:], n)
+        kept = whole[head]
+        head, end = head[kept], end[kept]
+        at_start = np.concatenate([[0], np.cumsum(h[:n] == least)])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h) * up[: len(h)], dtype=np.uint64)])
+        size = end - head + length - 1
+        digest = mixed((total[end + length - GRAM] - total[head]) * down[head] + size.astype(np.uint64))
+        out.append((text[head], least[head].view(np.int64), digest.view(np.int64), (head + lo - at[text[head]]).astype(np.int32), size.astype(np.int32), 1 + (at_start[end - 1] > at_start[head]).astype(np.int32)))
+    if not out:
+        return tuple(np.zeros(0, k) for k in (np.int32, np.int64, np.int64, np.int32, np.int32, np.int32))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def repeated_windows(texts: list[bytes], length: int = LENGTH, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, text, offset) of the windows that stand more than once in some texts; equal ones are in one set.
+
+    many: texts that stand for several equal ones. All their windows are in sets, be it alone.
     """
-    if len(data) < length:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    h = gram_hashes(data)
-    least = sliding_min(h, length - GRAM + 1)
-    head = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    end = np.append(head[1:], len(least))
-    at_start = np.concatenate([[0], np.cumsum(h[: len(least)] == least)])
-    return least[head], head, end - head + length - 1, 1 + (at_start[end - 1] > at_start[head]).astype(np.int64)
-
-
-def repeated_windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, text, offset) of the windows that stand more than once in some texts; equal ones are in one set."""
     sizes = np.array([len(t) for t in texts], np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1
     n = int(sizes.sum()) + len(texts)
     symbols = np.zeros(n + length + 2 * PACKED, np.int64)
-    for at, t in zip(first, texts, strict=True):
-        symbols[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        symbols[at : at + len(t)] += 1
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)] = flat.astype(np.int64) + 1
     packed, alive = symbols[:-PACKED].copy(), symbols[:-PACKED] != 0
     for k in range(1, PACKED):
         nxt = symbols[k : len(symbols) - PACKED + k]
         alive = alive & (nxt != 0)
         packed = (packed << SYMBOL_BITS) | np.where(alive, nxt, 0)
     suffixes = sorted_suffixes(packed, PACKED, length)
+    del packed, alive
     suffixes = suffixes[suffixes < n]
     bwt = symbols[suffixes - 1]
     bwt[suffixes == 0] = 0
@@ -126,156 +163,185 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
         boundary[high] = True
     head = np.flatnonzero(boundary[:n])
     size = np.append(head[1:], n) - head
-    many = size > 1
-    rows = np.repeat(head[many], size[many]) + np.arange(size[many].sum()) - np.repeat(np.cumsum(size[many]) - size[many], size[many])
+    chosen = size > 1
+    if many is not None:
+        text = np.searchsorted(first, suffixes[head], "right") - 1
+        chosen |= many[text] & (suffixes[head] - first[text] + length <= sizes[text])
+    head, size = head[chosen], size[chosen]
+    rows = np.repeat(head, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     place = suffixes[rows]
     text = np.searchsorted(first, place, "right") - 1
-    return np.repeat(np.arange(int(many.sum())), size[many]), text, place - first[text]
+    return np.repeat(np.arange(len(head)), size), text, place - first[text]
+
+
+def merged(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of overlapping or touching spans of a text."""
+    by = np.lexsort((start, text))
+    text, start, end = text[by], start[by], end[by]
+    if not len(text):
+        return text, start, end
+    # The reach of a text's spans so far; texts are kept apart by an offset that is beyond every end.
+    beyond = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + text.astype(np.int64) * beyond)
+    fresh = np.append(True, (text[1:] != text[:-1]) | (start[1:] + text[1:].astype(np.int64) * beyond > reach[:-1]))
+    head = np.flatnonzero(fresh)
+    last = np.append(head[1:], len(text)) - 1
+    return text[head], start[head], reach[last] - text[head].astype(np.int64) * beyond
+
 
+def later_windows(texts: list[bytes], place: np.ndarray, many: np.ndarray, length: int = LENGTH) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Two times (text, start, end): merged spans of windows that also start earlier, where a text stands first, and elsewhere.
 
-def later_windows(texts: list[bytes], place: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, end): merged spans of windows that also start earlier. place: the rank of each text's start."""
-    of, text, offset = repeated_windows(texts, length)
+    place: the rank of each text's first start. many: which texts stand elsewhere as well.
+    """
+    of, text, offset = repeated_windows(texts, length, many)
     if not len(of):
-        return of, of, of
+        return (of, of, of), (of, of, of)
     where = place[text] + offset
     head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    later = where != np.minimum.reduceat(where, head)[of]
-    text, offset = text[later], offset[later]
-    by = np.lexsort((offset, text))
-    text, offset = text[by], offset[by]
-    if not len(text):
-        return text, text, text
-    fresh = np.append(True, (text[1:] != text[:-1]) | (offset[1:] > offset[:-1] + length))
-    head = np.flatnonzero(fresh)
-    return text[head], offset[head], offset[np.append(head[1:], len(text)) - 1] + length
+    later, other = where != np.minimum.reduceat(where, head)[of], many[text]
+    return tuple(merged(text[x], offset[x], offset[x] + length) for x in (later, other))
 
 
 def _runs_of(batches: Batches) -> Batches:
     for batch in batches:
-        data, at = text_bytes(batch.column("text"))
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for i in range(batch.num_rows):
-            own = runs(data[at[i] : at[i + 1]])
-            for k, x in enumerate((np.full(len(own[0]), i), *own)):
-                out[k].append(x)
-        row, least, start, size, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        pick = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(least.astype(np.uint64).view(np.int64)), batch.column("doc").take(pick), batch.column("th").take(pick), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(weight.astype(np.int32))], ["least", "doc", "th", "start", "size", "weight"])
-
-
-def _bytes_of(batches: Batches) -> Batches:
-    """The bytes of the runs of each document, and a digest by which equal runs are grouped."""
-    names = ["least", "digest", "doc", "th", "start", "size", "weight", "run"]
+        text, least, digest, start, size, weight = runs(*text_bytes(batch.column("text")))
+        pick = pa.array(text)
+        yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(digest), batch.column("doc").take(pick), batch.column("th").take(pick), pa.array(start), pa.array(size), pa.array(weight)], ["least", "digest", "doc", "th", "start", "size", "weight"])
+
+
+def _units_of(batches: Batches) -> Batches:
+    """The bytes of each document's runs, those of hot minimizers by windows. of1, of2: the run that a window is of."""
+    names = ["k1", "k2", "doc", "start", "many", "unit", "of1", "of2", "at"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for doc, th, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "raw", "runs")), strict=True):
-            for r in own:
-                run = text[r["start"] : r["start"] + r["size"]]
-                for x, v in zip(out, (r["least"], hashlib.sha256(run).digest()[:16], doc, th, r["start"], r["size"], r["weight"], run), strict=True):
+        own = batch.column("runs")
+        fields = {f: own.flatten().field(f).to_pylist() for f in ("least", "digest", "start", "size", "many", "hot")}
+        row = np.repeat(np.arange(batch.num_rows), own.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        docs, texts = batch.column("doc").to_pylist(), batch.column("raw").to_pylist()
+        for i, least, digest, start, size, many, hot in zip(row, *fields.values(), strict=True):
+            if not hot:
+                units = [(least, digest, docs[i], start, many, texts[i][start : start + size], None, None, None)]
+            else:
+                units = []
+                for k in range(size - LENGTH + 1):
+                    window = texts[i][start + k : start + k + LENGTH]
+                    d = hashlib.blake2b(window, digest_size=16).digest()
+                    units.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), docs[i], start + k, many, window, least, digest, k))
+            for unit in units:
+                for x, v in zip(out, unit, strict=True):
                     x.append(v)
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
 
+def span_lists(text: np.ndarray, start: np.ndarray, end: np.ndarray, rows: int) -> pa.Array:
+    """The spans of each of so many texts, as lists."""
+    at = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=rows))]).astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(at), spans)
+
+
 def _expand(batches: Batches) -> Batches:
-    """Spans that go from the distinct runs of a task, which holds all those of a minimizer, sorted by it."""
-
-    def spans(rows: list[tuple]) -> pa.RecordBatch:
-        docs = np.array([r[2] for r in rows], np.int64)
-        th = np.array([r[3] for r in rows], np.int64)
-        start = np.array([r[4] for r in rows], np.int64)
-        _, rank = np.unique(docs, return_inverse=True)
-        t, a, b = later_windows([r[1] for r in rows], (rank.astype(np.int64) << 32) + start)
-        return pa.RecordBatch.from_arrays([pa.array(docs[t]), pa.array(th[t]), pa.array((start[t] + a).astype(np.int32)), pa.array((start[t] + b).astype(np.int32))], ["doc", "th", "start", "end"])
-
-    def groups() -> Iterator[list[tuple]]:
-        now: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("least", "run", "doc", "th", "start", "weight")), strict=True):
-                if now and now[0][0] != row[0]:
-                    yield now
-                    now = []
-                now.append(row)
-        if now:
-            yield now
-
-    shard: list[tuple] = []
+    """Spans that go from the distinct units of a task, which holds all those of a k1, sorted by it."""
+    names = ["k1", "k2", "doc", "start", "many"]
+
+    def spans(held: list[np.ndarray], units: list[bytes]) -> pa.RecordBatch:
+        _, rank = np.unique(held[2], return_inverse=True)
+        first, other = later_windows(units, (rank.astype(np.int64) << 32) + held[3], held[4])
+        lists = [span_lists(*x, len(units)) for x in (first, other)]
+        some = pa.array(np.isin(np.arange(len(units)), np.concatenate([first[0], other[0]])))
+        out = pa.RecordBatch.from_arrays([*(pa.array(x) for x in held[:4]), *lists], [*names[:4], "first", "other"])
+        return out.filter(some)
+
+    held: list[np.ndarray] = [np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int32, bool)]
+    units: list[bytes] = []
     size = 0
-    for group in groups():
-        if len(group) == 1 and group[0][5] == 1:
-            continue  # one distinct run without a period repeats nothing within itself
-        shard += group
-        size += sum(len(r[1]) for r in group)
-        if size >= SHARD_BYTES:
-            yield spans(shard)
-            shard, size = [], 0
-    if shard:
-        yield spans(shard)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2_000):
+            part = batch.slice(lo, 2_000)
+            own = part.column("unit").to_pylist()
+            held = [np.concatenate([x, part.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(held, names, strict=True)]
+            units += own
+            size += sum(map(len, own))
+            if size >= SHARD_BYTES and (end := int(np.searchsorted(held[0], held[0][-1]))):
+                yield spans([x[:end] for x in held], units[:end])
+                held, units = [x[end:] for x in held], units[end:]
+                size = sum(map(len, units))
+    if units:
+        yield spans(held, units)
 
 
 def _cut_spans(batches: Batches) -> Batches:
     for batch in batches:
-        rows: list[list] = [[], [], [], []]
-        for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "raw", "spans")), strict=True):
-            merged: list[list[int]] = []
-            for s in sorted((x["start"], x["end"]) for x in spans or []):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append(list(s))
-            at, kept = 0, []
-            for a, b in merged:
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            for x, v in zip(rows, (doc_id, len(text), [{"start": a, "end": b} for a, b in merged], b"".join(kept)), strict=True):
-                x.append(v)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], kind), pa.array(rows[3], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        data, at = text_bytes(batch.column("raw"))
+        lists = batch.column("spans")
+        counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), counts)
+        start, end = (lists.flatten().field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "end"))
+        row, start, end = merged(row, start, end)
+        gone = np.zeros(len(data) + 1, np.int32)
+        np.add.at(gone, at[row] + start, 1)
+        np.add.at(gone, at[row] + end, -1)
+        kept = np.cumsum(gone[:-1], dtype=np.int32) == 0
+        left = np.concatenate([[0], np.cumsum(kept)])[at]
+        binary = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[kept].tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), span_lists(row, start, end, batch.num_rows), binary], ["doc_id", "n_bytes", "removed", "kept"])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, removed (maximal spans of bytes), kept (the remaining bytes).
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a document of a smaller id, or earlier
     in the same one. Null texts count as empty. A null id is smaller than any other. Rows that repeat an id with the same
     text are one place, so neither is earlier; with other texts under one id, their starts count as of one document. Texts
-    shorter than LENGTH stay whole. An empty table gives no rows. Extra columns are not read.
+    shorter than LENGTH stay whole. An empty table gives no rows. Extra columns are not read. Minimizers of more than `hot`
+    distinct runs are dealt out by windows, with the same result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
-    held = repeated_positions(source)
-    release(docs.sparkSession)
-    found = repeated_runs(source, held)
-    release(docs.sparkSession)
-    first = first_runs(found)
-    release(docs.sparkSession)
-    early = first.select("least", "digest", F.col("doc").alias("doc0"), F.col("start").alias("start0"))
-    later = found.select("least", "digest", "doc", "th", "start", "size").join(early, ["least", "digest"]).where("doc != doc0 or start != start0")
-    later = later.select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"))
-    shards = first.select("least", "run", "doc", "th", "start", "weight").repartition("least").sortWithinPartitions("least")
-    spans = later.unionByName(map_arrow(shards, _expand, "doc long, th long, start int, end int")).distinct()
-    by_doc = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return map_arrow(source.join(by_doc, ["doc", "th"], "left").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "spans"), _cut_spans, "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")
-
-
-def repeated_positions(source: DataFrame) -> DataFrame:
-    """The runs of each document whose minimizer occurs again."""
-    every = map_arrow(source.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text"), _runs_of, "least long, doc long, th long, start int, size int, weight int")
-    again = every.groupBy("least").agg(F.sum("weight").alias("n")).where("n > 1").select("least")
-    return store(every.join(again, "least", "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("least", "start", "size", "weight")).alias("runs")))
-
-
-def repeated_runs(source: DataFrame, held: DataFrame) -> DataFrame:
-    """Those runs with their bytes."""
-    return store(map_arrow(source.join(held, ["doc", "th"]).select("doc", "th", F.encode("text", "UTF-8").alias("raw"), "runs"), _bytes_of, "least long, digest binary, doc long, th long, start int, size int, weight int, run binary"))
-
-
-def first_runs(found: DataFrame) -> DataFrame:
-    """The distinct runs of a minimizer, each where it starts first."""
-    first = found.groupBy("least", "digest").agg(F.min(F.struct("doc", "start", "th")).alias("first"), F.max("weight").alias("weight"), F.max("run").alias("run"))
-    return store(first.select("least", "digest", "first.*", "weight", "run"))
+    places = repeated_places(source)
+    spans = store(spans_by_document(places, removals(source, places, hot)))
+    return map_arrow(source.join(spans, ["doc", "th"], "left").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "spans"), _cut_spans, f"doc_id long, n_bytes long, removed {SPANS}, kept binary")
+
+
+def repeated_places(source: DataFrame) -> DataFrame:
+    """The runs of each document whose minimizer occurs again: (k1, k2) is the run, k1 its minimizer."""
+    every = map_arrow(source.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text"), _runs_of, "least long, digest long, doc long, th long, start int, size int, weight int")
+    again = store(every.groupBy("least").agg(F.sum("weight").alias("n")).where("n > 1").select("least"))
+    return store(every.join(again, "least", "left_semi").select(F.col("least").alias("k1"), F.col("digest").alias("k2"), "doc", "th", "start", "size"))
+
+
+def removals(source: DataFrame, places: DataFrame, hot: int = HOT) -> DataFrame:
+    """By run (k1, k2): where it starts first (doc, start), the spans that go there (first), and those elsewhere (other)."""
+    distinct = places.groupBy("k1", "k2").agg(F.min(F.struct("doc", "start", "th")).alias("m"), F.max("size").alias("size"), (F.count(F.lit(1)) > 1).alias("many"))
+    distinct = store(distinct.select("k1", "k2", "m.*", "size", "many"))
+    crowded = store(distinct.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("k1", F.lit(True).alias("hot")))
+    marked = distinct.join(crowded, "k1", "left")
+    by_doc = marked.groupBy("doc", "th").agg(F.collect_list(F.struct(F.col("k1").alias("least"), F.col("k2").alias("digest"), "start", "size", "many", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
+    texts = source.join(by_doc, ["doc", "th"]).select("doc", F.encode("text", "UTF-8").alias("raw"), "runs")
+    units = store(map_arrow(texts, _units_of, "k1 long, k2 long, doc long, start int, many boolean, unit binary, of1 long, of2 long, at int"))
+
+    def expanded(shards: DataFrame) -> DataFrame:
+        dealt = shards.select("k1", "k2", "doc", "start", "many", "unit").repartition("k1").sortWithinPartitions("k1")
+        return map_arrow(dealt, _expand, f"k1 long, k2 long, doc long, start int, first {SPANS}, other {SPANS}")
+
+    found = store(expanded(units.where("of1 is null")))
+    if crowded.isEmpty():
+        return found
+    windows = units.where("of1 is not null")
+    places = windows.groupBy("k1", "k2").agg(F.min(F.struct("doc", "start")).alias("m"), ((F.count(F.lit(1)) > 1) | F.max("many")).alias("many"), F.max("unit").alias("unit"))
+    gone = store(expanded(places.where("many").select("k1", "k2", "m.*", "many", "unit")).where("size(other) > 0").select("k1", "k2", F.col("doc").alias("doc0"), F.col("start").alias("start0")))
+    hit = windows.join(gone, ["k1", "k2"]).select("of1", "of2", "doc", (F.col("start") - F.col("at")).alias("start"), F.struct(F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end")).alias("span"), ((F.col("doc") != F.col("doc0")) | (F.col("start") != F.col("start0"))).alias("late"))
+    back = hit.groupBy(F.col("of1").alias("k1"), F.col("of2").alias("k2")).agg(F.min(F.struct("doc", "start")).alias("m"), F.collect_list(F.when(F.col("late"), F.col("span"))).alias("first"), F.collect_list("span").alias("other"))
+    return found.unionByName(store(back.select("k1", "k2", "m.*", "first", "other")))
+
+
+def spans_by_document(places: DataFrame, gone: DataFrame) -> DataFrame:
+    """The spans that go from each document (doc, th), as one list."""
+    early = gone.select("k1", "k2", F.col("doc").alias("doc0"), F.col("start").alias("start0"), "first", "other")
+    own = places.join(early, ["k1", "k2"]).select("doc", "th", F.expr("transform(if(doc = doc0 and start = start0, first, other), x -> struct(start + x.start as start, start + x.end as end))").alias("spans"))
+    return own.where("size(spans) > 0").groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def summary(found: DataFrame) -> DataFrame:

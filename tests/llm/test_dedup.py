@@ -138,8 +138,8 @@ def brute_repeats(rows, length=100):
     return out
 
 
-def removed(df):
-    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.summary(suffix_dedup.remove_repeats(df)).collect()}
+def removed(df, **kw):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.summary(suffix_dedup.remove_repeats(df, **kw)).collect()}
 
 
 def test_remove_repeats_of_odd_rows(odd):
@@ -158,6 +158,36 @@ def test_remove_repeats_within_texts(spark):
     assert removed(frame(spark, rows)) == brute_repeats(rows)
 
 
+def test_remove_repeats_of_a_passage_in_many_surroundings(spark):
+    """A minimizer of thousands of distinct runs, dealt out by runs and by windows."""
+    rng = np.random.default_rng(5)
+    block = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    passage, edge = block(180), block(60)
+    rows = [(i, block(120) + (edge if i % 3 else "") + passage + block(120)) for i in range(3_000)]
+    rows += [(5_000 + i, rows[i][1]) for i in range(0, 3_000, 7)] + [(9_000, passage[:99]), (9_001, passage[40:140] * 2)]
+    truth = brute_repeats(rows)
+    assert removed(frame(spark, rows)) == truth
+    assert removed(frame(spark, rows), hot=50) == truth
+
+
+def test_remove_repeats_by_windows(docs, texts):
+    assert removed(docs, hot=1) == brute_repeats(list(texts.items()))
+
+
+def test_runs_of_parted_texts(monkeypatch, spark):
+    """Texts longer than what is hashed at once."""
+    monkeypatch.setattr(suffix_dedup, "STEP", 64)
+    data = np.frombuffer(LONG.encode() * 2 + ODD[4][1][:500].encode(), np.uint8)
+    at = np.array([0, 0, len(LONG), 2 * len(LONG), len(data), len(data)])
+    text, least, digest, start, size, _ = suffix_dedup.runs(data, at)
+    windows = sorted((int(t), int(s) + k) for t, s, n in zip(text, start, size, strict=True) for k in range(n - 99))
+    assert windows == [(t, s) for t in range(5) for s in range(max(0, at[t + 1] - at[t] - 99))]
+    same = {}
+    for t, m, d, s, n in zip(text, least, digest, start, size, strict=True):
+        same.setdefault(bytes(data[at[t] + s : at[t] + s + n]), set()).add((m, d))
+    assert all(len(x) == 1 for x in same.values()) and len({x for v in same.values() for x in v}) == len(same)
+
+
 def test_remove_repeats_of_nothing(none):
     assert removed(none) == {}
 
