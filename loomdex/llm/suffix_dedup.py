@@ -33,11 +33,10 @@ from .common import Batches, map_arrow, store, text_bytes
 from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 100, 16
-SHARD_BYTES, HOT = 1 << 20, 6_000
+SHARD_BYTES, HOT = 1 << 18, 6_000
 #: Windows that are hashed at a time.
 STEP = 1 << 18
 NO_ID = -(1 << 63)
-SYMBOL_BITS, PACKED = 9, 6
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -112,51 +111,69 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH, many: np.ndarray
     many: texts that stand for several equal ones. All their windows are in sets, be it alone.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    first = np.cumsum(sizes + 1) - sizes - 1
     n = int(sizes.sum()) + len(texts)
-    symbols = np.zeros(n + length + 2 * PACKED, np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    first = (np.cumsum(sizes + 1) - sizes - 1).astype(np.int32)
     flat = np.frombuffer(b"".join(texts), np.uint8)
-    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)] = flat.astype(np.int64) + 1
-    packed, alive = symbols[:-PACKED].copy(), symbols[:-PACKED] != 0
-    for k in range(1, PACKED):
-        nxt = symbols[k : len(symbols) - PACKED + k]
-        alive = alive & (nxt != 0)
-        packed = (packed << SYMBOL_BITS) | np.where(alive, nxt, 0)
-    suffixes = sorted_suffixes(packed, PACKED, length)
-    del packed, alive
-    suffixes = suffixes[suffixes < n]
+    # Symbols are ranks of the bytes that there are, from 1, so as many as possible fit into a word; 0 ends a text.
+    rank = np.zeros(256, np.int64)
+    there = np.flatnonzero(np.bincount(flat, minlength=256))
+    rank[there] = np.arange(1, len(there) + 1)
+    kinds = len(there) + 1
+    bits = int(kinds - 1).bit_length() or 1
+    packs = 62 // bits
+    symbols = np.zeros(n + length + 2 * packs, np.int64)
+    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)] = rank[flat]
+    packed, alive = symbols[:-packs].copy(), symbols[:-packs] != 0
+    for k in range(1, packs):
+        nxt = symbols[k : len(symbols) - packs + k]
+        alive &= nxt != 0
+        packed <<= bits
+        packed |= nxt * alive
+    suffixes = sorted_suffixes(packed, packs, length)
+    suffixes = suffixes[suffixes < n].astype(np.int32)
+    symbols = symbols[:n].astype(np.uint8)
     bwt = symbols[suffixes - 1]
     bwt[suffixes == 0] = 0
     # Where the suffix one symbol longer stands: a stable sort of the transform. Ends are symbols of their own.
-    down = np.empty(n, np.int64)
-    down[np.argsort(bwt.astype(np.int16), kind="stable")] = np.arange(n)
-    counts = np.bincount(symbols[:n], minlength=258)
-    before = np.concatenate([[0], np.cumsum(counts)])
-    boundary = np.zeros(n + 1, bool)
-    low = np.concatenate([np.arange(counts[0]), before[1:-1][counts[1:] > 0]])
-    high = np.concatenate([np.arange(counts[0]) + 1, before[2:][counts[1:] > 0]])
-    boundary[high] = boundary[0] = True
-    for _ in range(length - 1):
+    up = np.argsort(bwt, kind="stable").astype(np.int32)
+    down = np.empty(n, np.int32)
+    down[up] = np.arange(n, dtype=np.int32)
+    front = np.repeat(np.arange(kinds, dtype=np.uint8), np.bincount(symbols, minlength=kinds))
+    interval = np.empty(n, np.int32)
+    # Common prefixes shorter than a word are read off the words, which ends cut short.
+    word = packed[suffixes]
+    left = np.minimum((first + sizes)[owner[suffixes]] - suffixes, packs).astype(np.int8)
+    differs, common = word[1:] ^ word[:-1], np.zeros(n - 1, np.int8)
+    depth = min(packs, length)
+    for k in range(depth):
+        common += differs < 1 << (bits * (packs - 1 - k))
+    common = np.minimum(common, np.minimum(left[1:], left[:-1]))
+    del packed, alive, word, differs
+    boundary = np.ones(n + 1, bool)
+    boundary[1:-1] = common < depth
+    marks = np.flatnonzero(boundary)
+    newest = np.flatnonzero(common[marks[1:-1] - 1] == depth - 1) + 1
+    low, high = marks[newest - 1].astype(np.int32), marks[newest].astype(np.int32)
+    for _ in range(length - depth):
         if not len(low):
             break
         size = high - low
         one = low[size == 1]
-        one = one[bwt[one] != 0]
-        new_low, new_high = [down[one]], [down[one] + 1]
+        one = down[one[bwt[one] != 0]]
+        new_low, new_high = [one], [one + 1]
         wide = size > 1
         if wide.any():
             lo, w = low[wide], size[wide]
-            of = np.repeat(np.arange(len(lo)), w)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(lo, w)
-            c = bwt[at]
-            key = of[c != 0] * 512 + c[c != 0]
-            to = down[at[c != 0]]
-            by = np.argsort(key, kind="stable")
-            key, to = key[by], to[by]
-            if len(key):
-                head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            of = np.repeat(np.arange(len(lo), dtype=np.int32), w)
+            at = np.arange(len(of), dtype=np.int32) + np.repeat(lo - np.cumsum(w, dtype=np.int32) + w, w)
+            interval[at] = of
+            to = np.sort(down[at[bwt[at] != 0]])
+            if len(to):
+                of = interval[up[to]]
+                head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (front[to[1:]] != front[to[:-1]])))
                 new_low.append(to[head])
-                new_high.append(to[np.append(head[1:], len(key)) - 1] + 1)
+                new_high.append(to[np.append(head[1:], len(to)) - 1] + 1)
         low, high = np.concatenate(new_low), np.concatenate(new_high)
         fresh = ~boundary[high]
         low, high = low[fresh], high[fresh]
@@ -165,12 +182,12 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH, many: np.ndarray
     size = np.append(head[1:], n) - head
     chosen = size > 1
     if many is not None:
-        text = np.searchsorted(first, suffixes[head], "right") - 1
+        text = owner[suffixes[head]]
         chosen |= many[text] & (suffixes[head] - first[text] + length <= sizes[text])
     head, size = head[chosen], size[chosen]
-    rows = np.repeat(head, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    rows = np.repeat(head - np.cumsum(size) + size, size) + np.arange(size.sum())
     place = suffixes[rows]
-    text = np.searchsorted(first, place, "right") - 1
+    text = owner[place]
     return np.repeat(np.arange(len(head)), size), text, place - first[text]
 
 
@@ -302,14 +319,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     places = repeated_places(source)
     spans = store(spans_by_document(places, removals(source, places, hot)))
-    return map_arrow(source.join(spans, ["doc", "th"], "left").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "spans"), _cut_spans, f"doc_id long, n_bytes long, removed {SPANS}, kept binary")
+    return map_arrow(source.join(spans.hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", F.encode("text", "UTF-8").alias("raw"), "spans"), _cut_spans, f"doc_id long, n_bytes long, removed {SPANS}, kept binary")
 
 
 def repeated_places(source: DataFrame) -> DataFrame:
     """The runs of each document whose minimizer occurs again: (k1, k2) is the run, k1 its minimizer."""
     every = map_arrow(source.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text"), _runs_of, "least long, digest long, doc long, th long, start int, size int, weight int")
     again = store(every.groupBy("least").agg(F.sum("weight").alias("n")).where("n > 1").select("least"))
-    return store(every.join(again, "least", "left_semi").select(F.col("least").alias("k1"), F.col("digest").alias("k2"), "doc", "th", "start", "size"))
+    return store(every.join(again.hint("shuffle_hash"), "least", "left_semi").select(F.col("least").alias("k1"), F.col("digest").alias("k2"), "doc", "th", "start", "size"))
 
 
 def removals(source: DataFrame, places: DataFrame, hot: int = HOT) -> DataFrame:
@@ -319,7 +336,7 @@ def removals(source: DataFrame, places: DataFrame, hot: int = HOT) -> DataFrame:
     crowded = store(distinct.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("k1", F.lit(True).alias("hot")))
     marked = distinct.join(crowded, "k1", "left")
     by_doc = marked.groupBy("doc", "th").agg(F.collect_list(F.struct(F.col("k1").alias("least"), F.col("k2").alias("digest"), "start", "size", "many", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
-    texts = source.join(by_doc, ["doc", "th"]).select("doc", F.encode("text", "UTF-8").alias("raw"), "runs")
+    texts = source.join(by_doc.hint("shuffle_hash"), ["doc", "th"]).select("doc", F.encode("text", "UTF-8").alias("raw"), "runs")
     units = store(map_arrow(texts, _units_of, "k1 long, k2 long, doc long, start int, many boolean, unit binary, of1 long, of2 long, at int"))
 
     def expanded(shards: DataFrame) -> DataFrame:
@@ -340,7 +357,7 @@ def removals(source: DataFrame, places: DataFrame, hot: int = HOT) -> DataFrame:
 def spans_by_document(places: DataFrame, gone: DataFrame) -> DataFrame:
     """The spans that go from each document (doc, th), as one list."""
     early = gone.select("k1", "k2", F.col("doc").alias("doc0"), F.col("start").alias("start0"), "first", "other")
-    own = places.join(early, ["k1", "k2"]).select("doc", "th", F.expr("transform(if(doc = doc0 and start = start0, first, other), x -> struct(start + x.start as start, start + x.end as end))").alias("spans"))
+    own = places.join(early.hint("shuffle_hash"), ["k1", "k2"]).select("doc", "th", F.expr("transform(if(doc = doc0 and start = start0, first, other), x -> struct(start + x.start as start, start + x.end as end))").alias("spans"))
     return own.where("size(spans) > 0").groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
