@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomdex.shipping import ship
 
@@ -83,27 +85,30 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(name)
 
 
-#: The key of a row within a stage.
-ROW = "__row"
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a long key of each row, stored, so that every use of it sees the same keys."""
-    return store(docs.withColumn(ROW, F.monotonically_increasing_id()))
+#: At most so many rows of keys are broadcast.
+BROADCAST_IDS = 500_000
 
 
-#: At most so many ids are broadcast.
-BROADCAST_IDS = 500_000
+def bounded(keys: DataFrame) -> DataFrame:
+    """keys, stored and counted; marked for a broadcast if they are few, else left to be joined by a shuffle."""
+    held = cut(keys)
+    return F.broadcast(held) if held.count() <= BROADCAST_IDS else held
 
 
-def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in `dropped` (one column). Rows with a null id stay.
+def without(docs: DataFrame, keys: list[str], dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without the rows whose keys are in `dropped`; of those whose keys are in `repeated`, any one stays.
 
-    The ids are counted first: few of them are broadcast, so no text moves, and more are joined by a shuffle.
+    Keys compare null-safely. Where few rows go, no text moves.
     """
-    ids = cut(dropped.select(F.col(dropped.columns[0]).alias("__dropped")).where("__dropped is not null").distinct())
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs[id_col] == F.col("__dropped"), "left_anti")
+    match = lambda rows, side: reduce(Column.__and__, (rows[k].eqNullSafe(side[f"{k}_"]) for k in keys))
+    named = lambda df: df.select(*(F.col(k).alias(f"{k}_") for k in keys))
+    again = cut(named(repeated))
+    gone = bounded(named(dropped).unionByName(again).distinct())
+    out = docs.join(gone, match(docs, gone), "left_anti")
+    if again.isEmpty():
+        return out
+    same = bounded(again)
+    return out.unionByName(docs.join(same, match(docs, same), "left_semi").dropDuplicates(keys))
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -128,7 +133,7 @@ def sample_by_hash(df: DataFrame, key: str, rows: int, salt: int = 7) -> DataFra
     return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.col(key)).limit(rows)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """df.mapInArrow, with the package known to the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)

@@ -6,26 +6,26 @@ the Burrows-Wheeler transform goes into a wavelet matrix. All distinct windows a
 rows of non-empty ranges are located by walking to sampled suffix positions; overlapping occurrences merge
 into removal spans. No document is shuffled.
 
-The windows are broadcast, in blocks of at most BLOCK_BYTES of item text. A benchmark beyond one block takes
-several passes, whose spans are merged by document; how much is broadcast at once never grows.
+The windows are broadcast, in blocks of about BLOCK_BYTES of item text. A shard is searched for one block after the other,
+and its rows' spans are merged; a worker holds one block at a time, and the corpus is read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Batches, keyed, map_arrow, strings
+from .common import Batches, map_arrow, strings
 from .suffixes import sorted_suffixes
 from .words import WORD, words
 
 WINDOW, MANY_ITEMS = 8, 2
-SHARD_WORDS, SAMPLE_STEP, BLOCK_BYTES = 1 << 20, 16, 16 << 20
+SHARD_WORDS, SHARD_ROWS, SAMPLE_STEP, BLOCK_BYTES = 1 << 20, 20_000, 16, 16 << 20
 SPANS = "array<struct<start:int,end:int>>"
 SCHEMA = f"doc_id long, n_words long, hits {SPANS}, spans {SPANS}, items array<string>"
 
@@ -175,69 +175,77 @@ def character_spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, i
     return [(int(lead[at[s][0]]), int(lead[at[e - 1][1]])) for s, e in hits]
 
 
-def _one_block(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Windows(items))
-
-    def run(batches: Batches) -> Batches:
-        windows = shared.value
-        symbol = windows.symbol.get
-        ids, texts, shard, size = [], [], [], 0
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            found = leaks(shard, windows)
-            rows = [found.get(i, ([], [])) for i in range(len(shard))]
-            struct = lambda spans: [{"start": a, "end": b} for a, b in spans]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(x) for x in shard], pa.int64()), pa.array([struct(h) for h, _ in rows], kind),
-                 pa.array([struct(character_spans(t, h)) if h else [] for t, (h, _) in zip(texts, rows, strict=True)], kind), pa.array([i for _, i in rows], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "hits", "spans", "items"],
-            )
-
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-                own = [symbol(w, 0) for w in words(text)]
-                ids.append(i)
-                texts.append(text)
-                shard.append(own)
-                size += len(own)
-                if size >= SHARD_WORDS or len(ids) >= 20_000:
-                    yield from emit()
-                    ids, texts, shard, size = [], [], [], 0
-        if ids:
-            yield from emit()
-
-    return map_arrow(docs, run, SCHEMA)
-
-
-def _union_of(spans: str) -> F.Column:
-    """One list of disjoint spans from a list of lists."""
-    step = f"""aggregate(array_sort(flatten({spans})), cast(array() as {SPANS}), (done, x) ->
-        if(size(done) > 0 and x.start <= element_at(done, -1).end,
-           concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(x.end, element_at(done, -1).end)))),
-           concat(done, array(x))))"""
-    return F.expr(step)
+def _held(block: Broadcast, alone: bool) -> Windows:
+    """A block's windows. Of several blocks, a worker holds one at a time."""
+    return block.value if alone else block.load_from_path(block._path)
+
+
+def _scanned(batches: Batches, at: int, blocks: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, list[str], list[list[bytes]], list[tuple[list[tuple[int, int]], list[str]]]]]:
+    """(rows, texts, words, (merged word spans, items) of each row) by shards of a bounded number of words. at: the text's column."""
+    held: list[pa.RecordBatch] = []
+    texts: list[str] = []
+    shard: list[list[bytes]] = []
+    size = 0
+
+    def emit():
+        found: list[tuple[list, list]] = [([], []) for _ in shard]
+        for block in blocks:
+            windows = _held(block, len(blocks) == 1)
+            symbol = windows.symbol.get
+            for i, (spans, items) in leaks([[symbol(w, 0) for w in own] for own in shard], windows).items():
+                if found[i][0]:
+                    both = np.array([*found[i][0], *spans])
+                    spans, items = merged(both[:, 0], both[:, 1]), sorted({*found[i][1], *items})
+                found[i] = (spans, items)
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return rows, texts, shard, found
+
+    for batch in batches:
+        lo = 0
+        for i, text in enumerate(strings(batch.column(at))):
+            own = words(text)
+            texts.append(text)
+            shard.append(own)
+            size += len(own)
+            if size >= SHARD_WORDS or len(texts) >= SHARD_ROWS:
+                held.append(batch.slice(lo, i + 1 - lo))
+                lo = i + 1
+                yield emit()
+                held, texts, shard, size = [], [], [], 0
+        if lo < batch.num_rows:
+            held.append(batch.slice(lo))
+    if texts:
+        yield emit()
+
+
+def window_blocks(benchmark: DataFrame, block_bytes: int) -> list[Broadcast]:
+    """The windows of the benchmark, broadcast in blocks of about block_bytes of item text; equal rows are in one block."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null")
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // block_bytes))
+    sc = benchmark.sparkSession.sparkContext
+    part = lambda b: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+    return [sc.broadcast(Windows((r.item_id, r.text) for r in part(b).toLocalIterator())) for b in range(blocks)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, hits and spans (merged removal spans in words and in code points), items.
+    """One row per input row: doc_id, n_words, hits and spans (merged removal spans in words and in code points), items.
 
     Null or empty texts have no words and no hits. Items without words, or with a null id, have no windows; rows
     of one item_id count as one item. Ids of items are given as strings, sorted as such. An empty benchmark
-    leaves all documents clean. Extra columns are not read. With a benchmark of several blocks, rows that
-    repeat a doc_id are merged.
+    leaves all documents clean. Rows that repeat a doc_id, or have none, are found each for itself. An empty table gives
+    no rows. Extra columns are not read. Rows are the same for any block_bytes.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // block_bytes))
-    parts = []
-    for b in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        parts.append(_one_block(source, [(r.item_id, r.text) for r in own.toLocalIterator()]))
-    if blocks == 1:
-        return parts[0]
-    both = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in ("hits", "spans", "items")))
-    return both.select("doc_id", "n_words", _union_of("hits").alias("hits"), _union_of("spans").alias("spans"), F.expr("array_sort(array_distinct(flatten(items)))").alias("items"))
+    blocks = window_blocks(benchmark, block_bytes)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    lists = lambda spans: pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], kind)
+
+    def run(batches: Batches) -> Batches:
+        for rows, texts, shard, found in _scanned(batches, 1, blocks):
+            chars = [character_spans(t, h) if h else [] for t, (h, _) in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(map(len, shard)), pa.int64()), lists(h for h, _ in found), lists(chars), pa.array([i for _, i in found], pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "spans", "items"])
+
+    return map_arrow(source, run, SCHEMA)
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -246,15 +254,23 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= MANY_ITEMS).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the contaminated documents and, in the others, without the passages that windows cover.
 
-    All columns stay; where passages go, the text closes up with a space. Documents without hits are unchanged.
+    All columns stay; where passages go, the text closes up with a space. Documents without hits, null texts among them,
+    are unchanged. Each row is judged by its own text, so repeated and null ids make no difference, and nothing is joined.
     """
-    rows = keyed(docs)
-    found = find_leaks(rows, benchmark, ROW, text_col).where("size(spans) > 0").select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"), F.col("items").alias("__items"))
-    left = rows.join(found, rows[ROW] == F.col("__doc"), "left").where(f"coalesce(size(__items) < {MANY_ITEMS}, true)")
-    pieces = f"""array_join(transform(sequence(0, size(__spans)), i -> substring(`{text_col}`,
-        if(i = 0, 1, element_at(__spans, i).end + 1),
-        if(i = size(__spans), length(`{text_col}`), element_at(__spans, i + 1).start - if(i = 0, 0, element_at(__spans, i).end)))), ' ')"""
-    return left.withColumn(text_col, F.when(F.col("__spans").isNotNull(), F.expr(pieces)).otherwise(F.col(text_col))).select(*docs.columns)
+    blocks, at = window_blocks(benchmark, block_bytes), docs.columns.index(text_col)
+
+    def run(batches: Batches) -> Batches:
+        for rows, texts, _, found in _scanned(batches, at, blocks):
+            new = rows.column(at).to_pylist()
+            for i, (hits, _items) in enumerate(found):
+                if hits:
+                    spans = character_spans(texts[i], hits)
+                    ends, starts = [0, *(b for _, b in spans)], [*(a for a, _ in spans), len(texts[i])]
+                    new[i] = " ".join(texts[i][a:b] for a, b in zip(ends, starts, strict=True))
+            out = rows.set_column(at, rows.schema.field(at), pa.array(new, rows.schema.field(at).type))
+            yield out.filter(pa.array([len(items) < MANY_ITEMS for _, items in found], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, keyed, text_of, without
+from .common import cut, store, text_of, without
 
 FIRST_DIGIT, WIDEN = 64, 32
 REST = 2**31 - 1
@@ -51,9 +51,13 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all its columns, with one row of each text: one of the largest id. A null id ranks below every other."""
-    rows = keyed(docs)
-    same = radix_groups(rows, ROW, text_col).where("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("__group"))
-    same = cut(same.join(rows.select(ROW, F.col(id_col).alias("__id")), ROW))
-    stay = same.groupBy("__group").agg(F.max(F.struct("__id", ROW)).alias("m")).select(F.col(f"m.{ROW}").alias(ROW))
-    return without(rows, ROW, same.select(ROW).join(stay, ROW, "left_anti")).select(*docs.columns)
+    """docs, with all its columns, with one row of each text: one of the largest id. A null id ranks below every other.
+
+    Each row is a document of its own, also where ids repeat or are null: rows that share id and text are copies, and any
+    one of them stays; rows that share the id only are not. Null texts count as empty. An empty table stays empty.
+    """
+    same = radix_groups(docs, id_col, text_col).where("group_size > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"), "kept")
+    same = store(same)
+    rows = docs.withColumns({"__id": F.col(id_col), "__text": F.sha2(F.encode(text_of(text_col), "UTF-8"), 256)})
+    repeated = same.where("kept").groupBy("__id", "__text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return without(rows, ["__id", "__text"], same.where("not kept"), repeated).select(*docs.columns)

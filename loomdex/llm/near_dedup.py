@@ -26,10 +26,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, ROW, Batches, cut, keyed, map_arrow, strings, without
+from .common import Batches, bounded, cut, map_arrow, strings, without
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -41,6 +41,8 @@ BESIDE, BESIDE_AGREE = 16, 9
 MIX, A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 FACTORS = (np.random.default_rng(17).integers(1, 1 << 63, TREES * DEPTH, np.uint64) << np.uint64(1)) | np.uint64(1)
 KEY = np.dtype(np.uint16)
+#: What tells rows apart: the id and two hashes of the text.
+KEYS = ["doc_id", "text1", "text2"]
 #: A chunk of a dense region has about so many sets, and shingles, at most.
 CHUNK, CHUNK_SHINGLES = 1024, 2_000_000
 #: Cells of the matrices of a comparison of chunks at a time.
@@ -87,8 +89,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sketch(batches: Batches) -> Batches:
-    shingles = Shingles()
+def _sketch(batches: Batches, width: int) -> Batches:
+    shingles = Shingles(width)
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
@@ -97,10 +99,10 @@ def _sketch(batches: Batches) -> Batches:
             rows = iter(signatures(full)) if full else iter(())
             digest = [hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets]
             sign = [next(rows).astype(">u2").tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())], ["doc_id", "n", "digest", "sign"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEYS), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())], [*KEYS, "n", "digest", "sign"])
 
 
-def neighbours(key: np.ndarray, tree: np.ndarray, size: np.ndarray, label: np.ndarray, window: int, depths: tuple[int, ...]) -> np.ndarray:
+def neighbours(key: np.ndarray, tree: np.ndarray, size: np.ndarray, label: np.ndarray, window: int, depths: tuple[int, ...], percent: int = PERCENT) -> np.ndarray:
     """Candidate rows (earlier, later) among sorted rows of minima: near ones, and the first of each region.
 
     Without depths, regions of more than window + 1 rows are left to dense_links().
@@ -129,9 +131,9 @@ def neighbours(key: np.ndarray, tree: np.ndarray, size: np.ndarray, label: np.nd
         later = at[first < at]
         pairs.append(np.stack([first[later], later]))
     a, b = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
-    good = (label[a] != label[b]) & (100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b]))
+    good = (label[a] != label[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
     a, b = a[good], b[good]
-    good = (beside[a] == beside[b]).sum(axis=1) >= BESIDE_AGREE
+    good = (beside[a] == beside[b]).sum(axis=1) >= (BESIDE_AGREE if percent >= PERCENT else BESIDE_AGREE - 1)
     return np.unique(np.stack([a[good], b[good]]), axis=1)
 
 
@@ -141,7 +143,7 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return key, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "rep", "n", "label"))
 
 
-def candidates(entries: DataFrame, window: int, depths: tuple[int, ...]) -> DataFrame:
+def candidates(entries: DataFrame, window: int, depths: tuple[int, ...], percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of entries (tree, key, rep, n, label) that are near in an order and have different labels."""
     ordered = entries.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
     schema = "a long, b long, tree int, key binary, n long, label long"
@@ -162,7 +164,7 @@ def candidates(entries: DataFrame, window: int, depths: tuple[int, ...]) -> Data
                 fresh = len(carried[1])
                 own = tuple(np.concatenate([c, x]) for c, x in zip(carried, own, strict=True))
             key, tree, rep, n, label = own
-            a, b = neighbours(key, tree, n, label, window, depths)
+            a, b = neighbours(key, tree, n, label, window, depths, percent)
             new = b >= fresh
             a, b = rep[a[new]], rep[b[new]]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -184,46 +186,55 @@ def candidates(entries: DataFrame, window: int, depths: tuple[int, ...]) -> Data
 
     found = cut(map_arrow(ordered.select("tree", "key", "rep", "n", "label"), lambda it: near(it, True), schema))
     inner = found.where("b is not null").select("a", "b")
-    # Of each partition some 2 * window rows at most: few, whatever the corpus.
-    seam = found.where("b is null").select("tree", "key", F.col("a").alias("rep"), "n", "label").distinct().coalesce(1).sortWithinPartitions("tree", "key", "rep")
+    # Of each partition some 2 * window rows at most, and each tree's in a task of their own.
+    seam = found.where("b is null").select("tree", "key", F.col("a").alias("rep"), "n", "label").distinct().repartition("tree").sortWithinPartitions("tree", "key", "rep")
     between = map_arrow(seam, lambda it: near(it, False), schema).select("a", "b")
     return inner.unionByName(between).distinct()
 
 
-def _agree(batches: Batches) -> Batches:
-    for batch in batches:
-        n = batch.num_rows
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), KEY).reshape(n, -1) for c in ("sign_a", "sign_b"))
-        kept = pa.array((x == y).mean(axis=1) >= AGREE)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
-
+def sets_of(nodes: DataFrame, source: DataFrame, width: int) -> DataFrame:
+    """id and shingles (bytes) of nodes (rep and KEYS), from the text of the row they were made of.
 
-def _sets(batches: Batches) -> Batches:
-    shingles = Shingles()
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles.of(x).tobytes() for x in strings(batch.column("text"))], pa.binary())], ["id", "shingles"])
+    Nodes are counted: few are broadcast, so no text moves; more are joined by a shuffle.
+    """
 
+    def run(batches: Batches) -> Batches:
+        shingles = Shingles(width)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([shingles.of(x).tobytes() for x in strings(batch.column("text"))], pa.binary())], ["id", "shingles"])
 
-def _confirm(batches: Batches) -> Batches:
-    for batch in batches:
-        kept = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            kept.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-        mask = pa.array(kept, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+    ids = bounded(nodes.select("rep", *(F.col(k).alias(f"{k}_") for k in KEYS)).distinct())
+    own = source.join(ids, reduce(Column.__and__, (source[k].eqNullSafe(ids[f"{k}_"]) for k in KEYS)))
+    return map_arrow(own.select("rep", "text"), run, "id long, shingles binary")
 
 
-def links(pairs: DataFrame, reps: DataFrame, source: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, reps: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """The candidate pairs whose full sets are alike."""
+    share = AGREE * percent / PERCENT
+
+    def agree(batches: Batches) -> Batches:
+        for batch in batches:
+            n = batch.num_rows
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), KEY).reshape(n, -1) for c in ("sign_a", "sign_b"))
+            kept = pa.array((x == y).mean(axis=1) >= share) if n else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+
+    def confirm(batches: Batches) -> Batches:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                kept.append(100 * both >= percent * (len(s) + len(t) - both))
+            mask = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("sign").alias(f"sign_{c}"))
-    likely = cut(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sign_a", "sign_b"), _agree, "a long, b long"))
-    ids = cut(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    sets = map_arrow(source.join(F.broadcast(ids) if few else ids, "doc_id"), _sets, "id long, shingles binary")
+    likely = cut(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sign_a", "sign_b"), agree, "a long, b long"))
+    ends = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
+    sets = sets_of(reps.join(ends, "rep", "left_semi"), source, width)
     first, second = (sets.select(F.col("id").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return map_arrow(likely.join(first, "a").join(second, "b").select("a", "b", "x", "y"), _confirm, "a long, b long").distinct()
+    return map_arrow(likely.join(first, "a").join(second, "b").select("a", "b", "x", "y"), confirm, "a long, b long").distinct()
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -242,7 +253,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+def alike(left: list[np.ndarray], right: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Which sets of the left are linked with which of the right (a matrix of bools), by the sizes of all intersections."""
     sizes = [np.array([len(s) for s in x], np.int64) for x in (left, right)]
     words = np.intersect1d(np.concatenate(left), np.concatenate(right))  # what only one side holds is in no intersection
@@ -265,10 +276,10 @@ def alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             sides.append(m)
         both += sides[0] @ sides[1].T
     both = both.astype(np.int64)
-    return 100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - both)
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
-def _compare(group: pa.Table) -> pa.Table:
+def _compare(group: pa.Table, percent: int) -> pa.Table:
     """A forest of the links of two chunks, or within one, between labels."""
     chunk = group.column("chunk").to_numpy()
     label = group.column("label").to_numpy()
@@ -277,14 +288,14 @@ def _compare(group: pa.Table) -> pa.Table:
     left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
     a = b = np.zeros(0, np.int64)
     if len(left) and len(right):
-        linked = alike([sets[k] for k in left], [sets[k] for k in right]) & (label[left][:, None] != label[right][None, :])
+        linked = alike([sets[k] for k in left], [sets[k] for k in right], percent) & (label[left][:, None] != label[right][None, :])
         x, y = np.nonzero(linked)
         a, b = label[left[x]], label[right[y]]
     edges = forest(np.minimum(a, b), np.maximum(a, b))
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
-def dense_links(entries: DataFrame, source: DataFrame) -> DataFrame | None:
+def dense_links(entries: DataFrame, reps: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Links (a, b) of labels by all pairs of the regions of entries with more than WINDOW + 1 sets; None if there are none.
 
     Chunks 0, 1, ... hold the sets whose label is not the commonest of their region, and -1, -2, ... those whose label it
@@ -300,32 +311,27 @@ def dense_links(entries: DataFrame, source: DataFrame) -> DataFrame | None:
     parts = lambda sets, size: F.greatest(F.lit(1), F.ceil(sets / CHUNK), F.ceil(size / CHUNK_SHINGLES)).cast("int")
     most = by_label.groupBy("tree", "region").agg(F.max(F.struct("sets", "label", "size")).alias("m"), F.sum("sets").alias("sets"), F.sum("size").alias("size"))
     most = most.select("tree", "region", F.col("m.label").alias("common"), parts(F.col("m.sets"), F.col("m.size")).alias("same"), parts(F.col("sets") - F.col("m.sets"), F.col("size") - F.col("m.size")).alias("other"))
-    ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    # Rows that repeat an id are one document: of one set.
-    sets = map_arrow(source.join(F.broadcast(ids) if few else ids, "doc_id"), _sets, "id long, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles"))
+    # Rows of one id and text are one document: of one set.
+    sets = sets_of(reps.join(rows.select("rep").distinct(), "rep", "left_semi"), source, width).groupBy("id").agg(F.max("shingles").alias("shingles"))
     dealt = rows.join(most, ["tree", "region"]).withColumn("chunk", F.when(F.col("label") == F.col("common"), -1 - F.pmod(F.xxhash64("rep"), F.col("same"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("other"))).cast("int"))
     meet = F.when(F.col("chunk") < 0, F.expr("transform(sequence(0, other - 1), x -> struct(x as i, chunk as j))")).otherwise(
         F.expr("concat(transform(sequence(0, other - 1), x -> struct(least(x, chunk) as i, greatest(x, chunk) as j)), transform(sequence(1, same), x -> struct(chunk as i, -x as j)))")
     )
     dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").select("tree", "region", "label", "chunk", "shingles", F.inline(meet))
-    return cut(dealt.groupBy("tree", "region", "i", "j").applyInArrow(_compare, "a long, b long").distinct())
-
+    return cut(dealt.groupBy("tree", "region", "i", "j").applyInArrow(lambda group: _compare(group, percent), "a long, b long").distinct())
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
-    Sets are of distinct SHINGLE-word shingles; of fewer words, the whole sequence is one shingle. Documents are linked
-    when 100 * intersection >= PERCENT * union, and component_id is the least id that links reach. Null and empty texts,
-    and such of white space, have no shingles and are linked with nothing. Rows with a null id have a null component_id
-    and are kept; they link nothing. Rows that repeat an id are taken for one document, of the set of any of its rows.
-    Extra columns are not read. An empty table gives no rows.
+def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, nulls: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, reps): rows has KEYS, n and the digest of the set of each row; reps has digest, the KEYS of the row of the
+    least id that has that set, and its component, which all sets share that links reach. nulls: null ids link as well,
+    ranked last.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = cut(map_arrow(source, _sketch, "doc_id long, n long, digest binary, sign binary"))
-    some = sketches.where("doc_id is not null and digest is not null")
-    reps = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sign")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.n", "r.sign")
-    reps = cut(reps.groupBy("rep").agg(F.min(F.struct("digest", "n", "sign")).alias("r"), F.collect_set("digest").alias("digests")).select("rep", "r.n", "r.sign", "digests"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text1"), F.xxhash64(F.lit(1), text).alias("text2"), text.alias("text"))
+    sketches = cut(map_arrow(source, lambda it: _sketch(it, width), "doc_id long, text1 long, text2 long, n long, digest binary, sign binary"))
+    some = sketches.where("digest is not null" if nulls else "doc_id is not null and digest is not null")
+    reps = some.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), *KEYS, "n", "sign")).alias("r")).select("digest", *(F.col(f"r.{c}").alias(c) for c in (*KEYS, "n", "sign")))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))  # stored, so each use sees the same numbers
 
     def entries(labels: DataFrame | None, trees: range) -> DataFrame:
         own = reps.select("rep", "n", "sign", F.col("rep").alias("label"))
@@ -335,26 +341,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def joined(labels: DataFrame, *more: DataFrame | None) -> DataFrame:
         new = [x for x in more if x is not None]
-        out = components(reduce(DataFrame.unionByName, new, labels.select(F.col("node").alias("a"), F.col("component").alias("b")))) if new else labels
-        return out
+        return components(reduce(DataFrame.unionByName, new, labels.select(F.col("node").alias("a"), F.col("component").alias("b")))) if new else labels
 
-    labels = components(links(candidates(entries(None, range(FIRST_TREES)), FIRST_WINDOW, (LEAST, DEPTH)), reps, source))
+    near = lambda labels, trees, window, depths: links(candidates(entries(labels, trees), window, depths, percent), reps, source, width, percent)
+    dense = lambda labels, trees: dense_links(entries(labels, trees), reps, source, width, percent)
+    labels = components(near(None, range(FIRST_TREES), FIRST_WINDOW, (LEAST, DEPTH)))
     # The first tree's dense regions alone leave few labels in hot groups for those of the others.
-    labels = joined(labels, links(candidates(entries(labels, range(TREES)), WINDOW, ()), reps, source), dense_links(entries(labels, range(1)), source))
-    found = joined(labels, dense_links(entries(labels, range(1, TREES)), source))
-    classes = reps.select("rep", F.explode("digests").alias("digest")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("doc_id", "n", "digest").join(classes, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    labels = joined(labels, near(labels, range(TREES), WINDOW, ()), dense(labels, range(1)))
+    labels = joined(labels, dense(labels, range(1, TREES)))
+    return sketches.select(*KEYS, "n", "digest"), reps.select("rep", "digest", *KEYS).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
+
+    Sets are of distinct shingles of `width` words; of fewer words, the whole sequence is one shingle. Documents are linked
+    when 100 * intersection >= percent * union (80 at least), and component_id is the least id that links reach. Null and
+    empty texts, and such of white space, have no shingles and are linked with nothing. Rows with a null id have a null
+    component_id and are kept; they link nothing. Rows that repeat an id are each of their own set. Extra columns are not
+    read. An empty table gives no rows.
+    """
+    rows, reps = classes(docs, id_col, text_col, width, percent, False)
+    least = reps.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(reps.select("digest", "component").join(least, "component").drop("component"), "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs, with all its columns, with one row of each component: one of the least id. A null id ranks behind every other.
 
-    Each row is a document of its own, also where ids repeat or are null.
+    Each row is a document of its own, also where ids repeat or are null: rows that share id and text are copies, and any
+    one of them stays. Texts without words stay. An empty table stays empty.
     """
-    rows = keyed(docs)
-    found = near_duplicates(rows, ROW, text_col).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__group"))
-    found = cut(found.join(rows.select(ROW, F.col(id_col).alias("__id")), ROW))
-    stay = found.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", ROW)).alias("m")).select(F.col(f"m.{ROW}").alias(ROW))
-    return without(rows, ROW, found.select(ROW).join(stay, ROW, "left_anti")).select(*docs.columns)
+    rows, reps = classes(docs, id_col, text_col, width, percent, True)
+    kept = reps.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), *KEYS)).alias("m")).select("component", *(F.col(f"m.{k}").alias(f"{k}_") for k in KEYS))
+    stays = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in KEYS))
+    marked = cut(rows.join(reps.select("digest", "component").join(kept, "component"), "digest").select(*KEYS, stays.alias("stays")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.withColumns({"doc_id__": F.col(id_col).cast("long"), "text1__": F.xxhash64(text), "text2__": F.xxhash64(F.lit(1), text)})
+    named = marked.select(*(F.col(k).alias(f"{k}__") for k in KEYS), "stays")
+    keys = [f"{k}__" for k in KEYS]
+    return without(own, keys, named.where("not stays"), named.where("stays").groupBy(keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")).select(*docs.columns)

@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Batches, keyed, map_arrow, sample_by_hash, strings, without
+from .common import Batches, map_arrow, sample_by_hash, strings
 
 BLOCK, WIDTH, FILTERS = 128, 4, 8
 #: At most so many labelled rows, and bytes of each, train the model; bytes beyond are left out evenly by whole blocks.
@@ -192,7 +193,12 @@ def train(rows: list[tuple[bytes, int]], cut: float = CUT) -> Network | None:
     return net
 
 
-def training_texts(docs: DataFrame, labelled: DataFrame, rows: int) -> list[tuple[bytes, int]]:
+def training_texts(docs: DataFrame, labelled: DataFrame, rows: int, most: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
+    """(bytes, label) of at most `rows` labelled documents, drawn by a hash of the id, with `most` bytes of each.
+
+    Of a longer text, pairs of blocks go that stand evenly over the whole of it. Of several texts of one id, that of the
+    least hash counts.
+    """
     drawn = sample_by_hash(labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")), "doc_id", rows)
     text = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text")  # at most `rows` ids
 
@@ -201,43 +207,63 @@ def training_texts(docs: DataFrame, labelled: DataFrame, rows: int) -> list[tupl
             out = []
             for x in strings(batch.column(2)):
                 b = x.encode("utf-8", "surrogatepass")
-                if len(b) > TRAIN_BYTES:
+                if len(b) > most:
                     pairs = -(-len(b) // (2 * BLOCK))
-                    at = np.linspace(0, pairs - 1, TRAIN_BYTES // (2 * BLOCK)).astype(int)
+                    at = np.linspace(0, pairs - 1, most // (2 * BLOCK)).astype(int)
                     b = b"".join(b[i * 2 * BLOCK : (i + 1) * 2 * BLOCK] for i in at)
                 out.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "label", "text"])
 
-    found = map_arrow(text, run, "doc_id long, label int, text binary").dropDuplicates(["doc_id"])
+    found = map_arrow(text, run, "doc_id long, label int, text binary").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "label")).alias("m")).select("doc_id", "m.text", "m.label")
     return [x[1:] for x in sorted((r.doc_id, bytes(r.text), r.label) for r in found.toLocalIterator())]
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, cut: float = CUT, key_col: str | None = None) -> DataFrame:
+def held_out(column: str, folds: int, held: int) -> F.Column:
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
+
+
+def shared_network(docs: DataFrame, labels: DataFrame, folds: int, held: int, id_col: str, text_col: str, rows: int, cut: float, most: int) -> Broadcast:
+    """A network trained on the labelled rows that are not held out, broadcast; its size is fixed."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    labelled = labels.where(~held_out("doc_id", folds, held)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
+    return docs.sparkSession.sparkContext.broadcast(train(training_texts(source, labelled, rows, most), cut))
+
+
+def scores(net: Network | None, column: pa.Array) -> np.ndarray:
+    texts = [x.encode("utf-8", "surrogatepass") for x in strings(column)]
+    return net.score(texts) if net else np.ones(len(texts))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, cut: float = CUT, most: int = TRAIN_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher: better), predicted (score >= cut).
 
-    labels: doc_id and quality; rows whose crc32(doc_id as text) mod folds is `held` never train. Null labels and ids
-    are left out; of several labels of one id the largest counts. Null and empty texts have all features at 0. A
-    document with a null id is scored, with held_out false. Without four rows of each label every score is 1, so
-    nothing is rejected. Only the text makes a score. With key_col, doc_id is that column, and id_col serves the labels only.
+    labels: doc_id and quality; rows whose crc32(doc_id as text) mod folds is `held` never train. At most `rows` labelled
+    documents train, by `most` bytes of each. Null labels and ids are left out; of several labels of one id the largest
+    counts. Null and empty texts have all features at 0. A document with a null id is scored, with held_out false. Rows
+    that repeat an id are scored each. Without four rows of each label every score is 1, so nothing is rejected. Only the
+    text makes a score. An empty table gives no rows. Extra columns are not read.
     """
-    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(key_col or id_col).cast("long").alias("key"))
-    source = keys.drop("key")
-    out = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
-    labelled = labels.where(~out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(training_texts(source, labelled, rows), cut))
+    shared = shared_network(docs, labels, folds, held, id_col, text_col, rows, cut, most)
 
     def run(batches: Batches) -> Batches:
-        net = shared.value
         for batch in batches:
-            texts = [x.encode("utf-8", "surrogatepass") for x in strings(batch.column(2))]
-            score = net.score(texts) if net else np.ones(len(texts))
+            score = scores(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return map_arrow(keys.select(F.col("key").alias("doc_id"), out("doc_id").alias("held_out"), "text"), run, SCHEMA)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_arrow(source.select("doc_id", held_out("doc_id", folds, held).alias("held_out"), "text"), run, SCHEMA)
+
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS, cut: float = CUT, most: int = TRAIN_BYTES) -> DataFrame:
+    """docs, with all its columns, without the documents that the classifier of score_quality() rejects.
+
+    Each row is judged by its own text, so repeated and null ids make no difference, and nothing is joined.
+    """
+    shared = shared_network(docs, labels, folds, held, id_col, text_col, rows, cut, most)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(shared.value, batch.column(at)) >= cut))
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all its columns, without the documents that the classifier rejects."""
-    rows = keyed(docs)
-    scored = score_quality(rows, labels, id_col=id_col, text_col=text_col, key_col=ROW)
-    return without(rows, ROW, scored.where("predicted = 0").select("doc_id")).select(*docs.columns)
+    return map_arrow(docs, run, docs.schema)
