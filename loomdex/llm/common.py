@@ -29,7 +29,7 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where none is set, one is made, but only for a master that runs on this machine alone."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
@@ -44,6 +44,12 @@ def _shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Drops the shuffle files of an execution when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -64,7 +70,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     Files go when the frame is no longer referenced, if the session's cleaner is set so.
     """
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     with shuffles_dropped(df.sparkSession):
         return df.checkpoint(eager=True)
 
@@ -76,7 +82,7 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    folder = f"{_shared_folder(spark)}/tables-{sc.applicationId}"
+    folder = f"{shared_folder(spark)}/tables-{sc.applicationId}"
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     name = f"{folder}/{uuid.uuid4().hex}"
@@ -128,6 +134,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes in a string or binary column; a longer value is a part of its own."""
+    at, lo = text_bytes(batch.column(column))[1], 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def sample_by_hash(df: DataFrame, key: str, rows: int, salt: int = 7) -> DataFrame:
     """At most `rows` rows, those with the least hash of the key: the same rows for any partitioning."""
     return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.col(key)).limit(rows)

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_arrow, store, text_bytes
+from .common import Batches, by_bytes, map_arrow, store, text_bytes
 from .suffixes import sorted_suffixes
 
 LENGTH, GRAM = 100, 16
 SHARD_BYTES, HOT = 1 << 18, 6_000
 #: Windows that are hashed at a time.
 STEP = 1 << 18
+#: Bytes of texts that a task works on at a time.
+PART_BYTES = 4 << 20
 NO_ID = -(1 << 63)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SPANS = "array<struct<start:int,end:int>>"
@@ -221,7 +223,7 @@ def later_windows(texts: list[bytes], place: np.ndarray, many: np.ndarray, lengt
 
 
 def _runs_of(batches: Batches) -> Batches:
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, "text", PART_BYTES)):
         text, least, digest, start, size, weight = runs(*text_bytes(batch.column("text")))
         pick = pa.array(text)
         yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(digest), batch.column("doc").take(pick), batch.column("th").take(pick), pa.array(start), pa.array(size), pa.array(weight)], ["least", "digest", "doc", "th", "start", "size", "weight"])
@@ -231,7 +233,7 @@ def _units_of(batches: Batches) -> Batches:
     """The bytes of each document's runs, those of hot minimizers by windows. of1, of2: the run that a window is of."""
     names = ["k1", "k2", "doc", "start", "many", "unit", "of1", "of2", "at"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, "raw", PART_BYTES)):
         out: list[list] = [[] for _ in names]
         own = batch.column("runs")
         fields = {f: own.flatten().field(f).to_pylist() for f in ("least", "digest", "start", "size", "many", "hot")}
@@ -290,20 +292,19 @@ def _expand(batches: Batches) -> Batches:
 
 
 def _cut_spans(batches: Batches) -> Batches:
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, "raw", PART_BYTES)):
         data, at = text_bytes(batch.column("raw"))
         lists = batch.column("spans")
         counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         row = np.repeat(np.arange(batch.num_rows), counts)
         start, end = (lists.flatten().field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "end"))
         row, start, end = merged(row, start, end)
-        gone = np.zeros(len(data) + 1, np.int32)
-        np.add.at(gone, at[row] + start, 1)
-        np.add.at(gone, at[row] + end, -1)
-        kept = np.cumsum(gone[:-1], dtype=np.int32) == 0
-        left = np.concatenate([[0], np.cumsum(kept)])[at]
-        binary = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[kept].tobytes())]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), span_lists(row, start, end, batch.num_rows), binary], ["doc_id", "n_bytes", "removed", "kept"])
+        # What is left of a document goes from its start, or the end of a span, to the next span or its end.
+        heads, tails = np.sort(np.append(at[:-1], at[row] + end)).tolist(), np.sort(np.append(at[1:], at[row] + start)).tolist()
+        left = b"".join(data[a:b].tobytes() for a, b in zip(heads, tails, strict=True))
+        sizes = np.diff(at) - np.bincount(row, end - start, batch.num_rows).astype(np.int64)
+        kept = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(left)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), span_lists(row, start, end, batch.num_rows), kept], ["doc_id", "n_bytes", "removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
