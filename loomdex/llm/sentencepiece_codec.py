@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ PACK, BITS = 4, 15
 PART = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 START, UNKNOWN = -1, -2
 NEVER = 1 << 40
+#: Levels of fewer positions than FEW are relaxed one by one, if there are MANY_LEVELS of them.
+FEW, MANY_LEVELS = 8, 64
 CACHE_ENTRIES, CACHED_LENGTH, BATCH_ROWS = 250_000, 64, 2_000
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
 
@@ -121,6 +124,27 @@ class Vocabulary:
         return ok
 
 
+    def stands_one(self, x: int, y: int) -> bool:
+        """stands() of one pair."""
+        born, left, right, ranks = self.plain_tables
+        end_x = end_y = NEVER
+        while True:
+            merge = ranks.get(x * self.size + y, NEVER)
+            if merge < end_x and merge <= end_y and merge < NEVER:
+                return False
+            bx, by = born[x], born[y]
+            if bx < 0 and by < 0:
+                return True
+            if bx > by:
+                end_x, x = bx, right[x]
+            else:
+                end_y, y = by, left[y]
+
+    @cached_property
+    def plain_tables(self) -> tuple[list[int], list[int], list[int], dict[int, int]]:
+        return self.born.tolist(), self.left.tolist(), self.right.tolist(), dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+
+
 def pack(columns) -> np.ndarray:
     """One number of PACK symbols."""
     out = np.zeros_like(columns[0])
@@ -179,6 +203,7 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
 
     def solve(self, segments: list[str]) -> list[bytes]:
         """Ids of each of some distinct pre-tokens."""
@@ -203,20 +228,39 @@ class Codec:
         unknown &= inside
         last[unknown], back[unknown] = UNKNOWN, 1
         ends = np.flatnonzero(inside & ~unknown)
-        level = ends - np.repeat(first, sizes + 1)[ends]
-        order = np.argsort(level)
+        # No piece spans a forced border, so nothing merges across it, and what follows does not depend on what ends there.
+        spanned = np.cumsum(np.bincount(start + 1, minlength=n + 2) - np.bincount(end, minlength=n + 2))[: n + 1]
+        border = spanned == 0
+        border[first] = True
+        before = np.append(0, np.maximum.accumulate(np.where(border, np.arange(n + 1), 0))[:-1])
+        level = ends - before[ends]
+        order = np.argsort(level, kind="stable")
         ends, level = ends[order], level[order]
-        steps = np.flatnonzero(np.append(True, level[1:] != level[:-1])) if len(ends) else []
-        for lo, hi in zip(steps, np.append(steps[1:], len(ends)), strict=True):
-            self.relax(ends[lo:hi], start, piece, reach, last, back)
+        steps = np.flatnonzero(np.append(True, level[1:] != level[:-1])) if len(ends) else np.zeros(0, np.int64)
+        widths = np.diff(np.append(steps, len(ends)))
+        deep = int(np.argmax(np.append(widths, 0) < FEW))
+        if len(steps) - deep < MANY_LEVELS:
+            deep = len(steps)
+        for lo, w in zip(steps[:deep], widths[:deep], strict=True):
+            self.relax(ends[lo : lo + w], start, piece, reach, last, back)
+        if deep < len(steps):
+            self.relax_one_by_one(ends[steps[deep] :], start, piece, reach, last, back)
         at, found_at, found = first + sizes, [], []
         of = np.arange(len(segments))
-        while len(of):
+        while len(of) >= FEW:
             live = at > first[of]
             of, at = of[live], at[live]
             found_at.append(at)
             found.append(last[at])
             at = at - back[at]
+        steps_back, pieces = (back.tolist(), last.tolist()) if len(of) else ([], [])
+        for i, p in zip(of.tolist(), at.tolist(), strict=True):
+            own = []
+            while p > first[i]:
+                own.append(p)
+                p -= steps_back[p]
+            found_at.append(np.array(own, np.int64))
+            found.append(np.array([pieces[p] for p in own], np.int64))
         place, ids = np.concatenate(found_at), np.concatenate(found)
         by = np.argsort(place)
         place, ids = place[by], ids[by]
@@ -241,6 +285,29 @@ class Codec:
             back[ends[good]] = ends[good] - start[edge[good]]
             ends, edge, limit = ends[~good], edge[~good] + 1, limit[~good]
 
+    def relax_one_by_one(self, ends: np.ndarray, start: np.ndarray, piece: np.ndarray, reach: np.ndarray, last: np.ndarray, back: np.ndarray) -> None:
+        """The same for the positions of few long runs, in order."""
+        begins, pieces, at, known = start.tolist(), piece.tolist(), reach.tolist(), last.tolist()
+        for p in ends.tolist():
+            for edge in range(at[p], at[p + 1]):
+                s, y = begins[edge], pieces[edge]
+                if known[s] < 0 or self.pair_stands(known[s], y):
+                    known[p] = y
+                    back[p] = p - s
+                    break
+            else:
+                raise AssertionError("a prefix without an encoding")
+        last[:] = known
+
+    def pair_stands(self, x: int, y: int) -> bool:
+        """Vocabulary.stands() of one pair, remembered."""
+        key = x * self.v.size + y
+        if (out := self.pairs.get(key)) is None:
+            if len(self.pairs) > CACHE_ENTRIES:
+                self.pairs.clear()
+            out = self.pairs[key] = self.v.stands_one(x, y)
+        return out
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         split = [parts_of(t) for t in texts if t]
         if len(self.known) > CACHE_ENTRIES:  # keep what this batch needs, which the frequent ones are among

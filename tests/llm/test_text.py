@@ -1,6 +1,7 @@
 import hashlib
 import re
 import textwrap
+import time
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,20 @@ def test_encoding_of_hard_texts():
         assert codec.decode(np.array(sp.encode(text))) == sp.decode(sp.encode(text))
 
 
+def test_encoding_of_long_runs_without_a_space():
+    """As the library, and in time that grows with the length only."""
+    sp, codec = library(), Codec(Vocabulary(open(MODEL, "rb").read()))
+    rng = np.random.default_rng(8)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    lower_case, wide = "abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"
+    runs = ["x" * 20_000, "ab" * 9_000, pick(lower_case, 20_000), pick(wide, 20_000), pick("0123456789abcdef", 20_000), pick("日本語の文字列", 5_000), "function(){return" * 2_000]
+    for text in runs:
+        assert np.frombuffer(codec.encode_batch([text])[0], np.int32).tolist() == sp.encode(text), text[:30]
+    began = time.process_time()
+    codec.encode_batch([pick(lower_case, 100_000)])
+    assert time.process_time() - began < 10
+
+
 def test_decoding_of_broken_bytes(spark):
     sp = library()
     ids = [sp.piece_to_id("<0xE2>"), sp.piece_to_id("<0x82>"), sp.piece_to_id("▁a"), 1, 2, 0]
