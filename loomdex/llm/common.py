@@ -134,7 +134,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, column: str | int, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many bytes in a string or binary column; a longer value is a part of its own."""
     at, lo = text_bytes(batch.column(column))[1], 0
     while lo < batch.num_rows:

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-Each task cuts its documents into shards of a bounded number of words and indexes each one: words become
+Each task cuts its documents into shards of a bounded size and indexes each one: words become
 symbols (those that occur in no benchmark window share symbol 0), suffixes are sorted by prefix doubling, and
 the Burrows-Wheeler transform goes into a wavelet matrix. All distinct windows are searched backward at once;
 rows of non-empty ranges are located by walking to sampled suffix positions; overlapping occurrences merge
@@ -20,12 +20,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_arrow, strings
+from .common import Batches, by_bytes, map_arrow, strings
 from .suffixes import sorted_suffixes
 from .words import WORD, words
 
 WINDOW, MANY_ITEMS = 8, 2
-SHARD_WORDS, SHARD_ROWS, SAMPLE_STEP, BLOCK_BYTES = 1 << 20, 20_000, 16, 16 << 20
+SHARD_BYTES, SAMPLE_STEP, BLOCK_BYTES = 4 << 20, 16, 16 << 20
 SPANS = "array<struct<start:int,end:int>>"
 SCHEMA = f"doc_id long, n_words long, hits {SPANS}, spans {SPANS}, items array<string>"
 
@@ -126,7 +126,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[head].tolist(), reach[np.append(head[1:], len(starts)) - 1].tolist(), strict=True))
 
 
-def leaks(shard: list[list[int]], windows: Windows) -> dict[int, tuple[list[tuple[int, int]], list[str]]]:
+def leaks(shard: list[np.ndarray], windows: Windows) -> dict[int, tuple[list[tuple[int, int]], list[str]]]:
     """By the number of a document in the shard that any window occurs in: merged word spans, item ids."""
     sizes = np.array([len(x) for x in shard], np.int64)
     symbols = np.zeros(int(sizes.sum()) + len(shard), np.int64)
@@ -180,42 +180,22 @@ def _held(block: Broadcast, alone: bool) -> Windows:
     return block.value if alone else block.load_from_path(block._path)
 
 
-def _scanned(batches: Batches, at: int, blocks: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, list[str], list[list[bytes]], list[tuple[list[tuple[int, int]], list[str]]]]]:
-    """(rows, texts, words, (merged word spans, items) of each row) by shards of a bounded number of words. at: the text's column."""
-    held: list[pa.RecordBatch] = []
-    texts: list[str] = []
-    shard: list[list[bytes]] = []
-    size = 0
-
-    def emit():
-        found: list[tuple[list, list]] = [([], []) for _ in shard]
-        for block in blocks:
-            windows = _held(block, len(blocks) == 1)
-            symbol = windows.symbol.get
-            for i, (spans, items) in leaks([[symbol(w, 0) for w in own] for own in shard], windows).items():
-                if found[i][0]:
-                    both = np.array([*found[i][0], *spans])
-                    spans, items = merged(both[:, 0], both[:, 1]), sorted({*found[i][1], *items})
-                found[i] = (spans, items)
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        return rows, texts, shard, found
-
+def _scanned(batches: Batches, at: int, blocks: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, list[str], list[int], list[tuple[list[tuple[int, int]], list[str]]]]]:
+    """(rows, texts, numbers of words, (merged word spans, items) of each row) by shards of a bounded size. at: the text's column."""
     for batch in batches:
-        lo = 0
-        for i, text in enumerate(strings(batch.column(at))):
-            own = words(text)
-            texts.append(text)
-            shard.append(own)
-            size += len(own)
-            if size >= SHARD_WORDS or len(texts) >= SHARD_ROWS:
-                held.append(batch.slice(lo, i + 1 - lo))
-                lo = i + 1
-                yield emit()
-                held, texts, shard, size = [], [], [], 0
-        if lo < batch.num_rows:
-            held.append(batch.slice(lo))
-    if texts:
-        yield emit()
+        for rows in by_bytes(batch, at, SHARD_BYTES):
+            texts = strings(rows.column(at))
+            found: list[tuple[list, list]] = [([], []) for _ in texts]
+            for block in blocks:
+                windows = _held(block, len(blocks) == 1)
+                symbol = windows.symbol.get
+                shard = [np.array([symbol(w, 0) for w in words(x)], np.int32) for x in texts]
+                for i, (spans, items) in leaks(shard, windows).items():
+                    if found[i][0]:
+                        both = np.array([*found[i][0], *spans])
+                        spans, items = merged(both[:, 0], both[:, 1]), sorted({*found[i][1], *items})
+                    found[i] = (spans, items)
+            yield rows, texts, list(map(len, shard)), found
 
 
 def window_blocks(benchmark: DataFrame, block_bytes: int) -> list[Broadcast]:
@@ -241,9 +221,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     lists = lambda spans: pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], kind)
 
     def run(batches: Batches) -> Batches:
-        for rows, texts, shard, found in _scanned(batches, 1, blocks):
+        for rows, texts, n_words, found in _scanned(batches, 1, blocks):
             chars = [character_spans(t, h) if h else [] for t, (h, _) in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(map(len, shard)), pa.int64()), lists(h for h, _ in found), lists(chars), pa.array([i for _, i in found], pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_words, pa.int64()), lists(h for h, _ in found), lists(chars), pa.array([i for _, i in found], pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "spans", "items"])
 
     return map_arrow(source, run, SCHEMA)
 

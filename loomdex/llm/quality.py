@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_arrow, sample_by_hash, strings
+from .common import Batches, by_bytes, map_arrow, sample_by_hash, strings
 
 BLOCK, WIDTH, FILTERS = 128, 4, 8
 #: At most so many labelled rows, and bytes of each, train the model; bytes beyond are left out evenly by whole blocks.
@@ -24,6 +24,8 @@ TRAIN_ROWS, TRAIN_BYTES = 4_000, 16_384
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.01, 1e-4
 CUT = 0.3
 BATCH_BLOCKS = 16_384
+#: Bytes of texts that a task scores at a time.
+PART_BYTES = 4 << 20
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -246,7 +248,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     shared = shared_network(docs, labels, folds, held, id_col, text_col, rows, cut, most)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 2, PART_BYTES)):
             score = scores(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= cut).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -263,7 +265,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     at = docs.columns.index(text_col)
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, at, PART_BYTES)):
             yield batch.filter(pa.array(scores(shared.value, batch.column(at)) >= cut))
 
     return map_arrow(docs, run, docs.schema)

@@ -1,6 +1,6 @@
 """Stages decide by row: ids may repeat or be null."""
 
-from loomdex.llm.decontamination import decontaminate
+from loomdex.llm.decontamination import decontaminate, find_leaks
 from loomdex.llm.exact_dedup import drop_exact_duplicates
 from loomdex.llm.near_dedup import drop_near_duplicates
 from loomdex.llm.quality import keep_good, score_quality
@@ -33,6 +33,18 @@ def test_decontamination_by_row(spark):
     assert [(i, t.strip()) for i, t in left(decontaminate(frame(spark, rows), bench))] == sorted([(1, "one"), (1, "two"), (1, "three"), (2, "four"), (None, "five")], key=str)
 
 
+def test_leaks_by_row_for_any_size_of_block(spark):
+    """The same rows, with repeated and null ids, however many blocks the benchmark is dealt to."""
+    items = [(i, " ".join(WORDS[10 * i : 10 * i + 9])) for i in range(12)]
+    bench = spark.createDataFrame([*items, (3, items[4][1]), (None, "a b c")], "item_id long, text string")
+    rows = [(1, items[0][1] + " one " + items[1][1]), (1, "two " + items[2][1]), (None, items[3][1]), (None, items[4][1] + " " + items[5][1]), (1, None), (2, "clean"), (2, "clean")]
+    found = [sorted(map(tuple, find_leaks(frame(spark, rows), bench, block_bytes=size).collect()), key=str) for size in (1 << 20, 100, 1)]
+    assert len(found[0]) == len(rows) and found[0] == found[1] == found[2]
+    assert sorted(len(r[4]) for r in found[0]) == [0, 0, 0, 1, 2, 2, 3]
+    left = [sorted(((r.doc_id, r.text) for r in decontaminate(frame(spark, rows), bench, block_bytes=size).collect()), key=str) for size in (1 << 20, 1)]
+    assert left[0] == left[1] and len(left[0]) == 4
+
+
 def test_quality_by_row(spark):
     docs, labels = spark.read.parquet(f"{LARGE}/documents.parquet"), spark.read.parquet(f"{LARGE}/labels.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
