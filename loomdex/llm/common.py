@@ -148,7 +148,12 @@ def sample_by_hash(df: DataFrame, key: str, rows: int, salt: int = 7) -> DataFra
     return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.col(key)).limit(rows)
 
 
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def map_arrow(df: DataFrame, f: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow, with the package known to the workers."""
+    """df.mapInArrow, with the package known to the workers, by batches of about BATCH_BYTES: rows may be long."""
     ship(df.sparkSession)
+    if int(df.sparkSession.conf.get(BATCH_LIMIT).removesuffix("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     return df.mapInArrow(f, schema)

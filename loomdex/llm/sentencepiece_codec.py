@@ -34,6 +34,8 @@ START, UNKNOWN = -1, -2
 NEVER = 1 << 40
 #: Levels of fewer positions than FEW are relaxed one by one, if there are MANY_LEVELS of them.
 FEW, MANY_LEVELS = 8, 64
+#: Characters of pre-tokens that are solved at once; a longer one is solved alone.
+SOLVED_CHARS = 250_000
 CACHE_ENTRIES, CACHED_LENGTH, BATCH_ROWS = 250_000, 64, 2_000
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
 
@@ -314,8 +316,14 @@ class Codec:
             needed = {x for s in split for x in s}
             self.known = {x: self.known[x] for x in needed if x in self.known}
         fresh = list({x for s in split for x in s if x not in self.known})
-        if fresh:
-            self.known.update(zip(fresh, self.solve(fresh), strict=True))
+        lo = 0
+        while lo < len(fresh):
+            hi, chars = lo, 0
+            while hi < len(fresh) and chars < SOLVED_CHARS:
+                chars += len(fresh[hi]) + 2
+                hi += 1
+            self.known.update(zip(fresh[lo:hi], self.solve(fresh[lo:hi]), strict=True))
+            lo = hi
         done = iter([b"".join(map(self.known.__getitem__, s)) for s in split])
         out = [next(done) if t else b"" for t in texts]
         for k in fresh:
