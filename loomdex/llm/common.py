@@ -148,7 +148,7 @@ def sample_by_hash(df: DataFrame, key: str, rows: int, salt: int = 7) -> DataFra
     return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.col(key)).limit(rows)
 
 
-BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def map_arrow(df: DataFrame, f: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:

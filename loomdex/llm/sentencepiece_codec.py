@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_arrow, strings
+from .common import Batches, by_bytes, map_arrow, strings
 from .suffixes import sorted_suffixes
 from .token_counts import INNER_MARK, MARK
 
@@ -36,7 +36,7 @@ NEVER = 1 << 40
 FEW, MANY_LEVELS = 8, 64
 #: Characters of pre-tokens that are solved at once; a longer one is solved alone.
 SOLVED_CHARS = 250_000
-CACHE_ENTRIES, CACHED_LENGTH, BATCH_ROWS = 250_000, 64, 2_000
+CACHE_ENTRIES, CACHED_LENGTH, PART_BYTES = 150_000, 64, 3 << 20
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
 
 codecs.register_error("loomdex.bytes", lambda e: ("�" * (e.end - e.start), e.end))
@@ -362,8 +362,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Batches) -> Batches:
         codec = codec_of(shared)
         for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(lo, BATCH_ROWS)
+            for part in by_bytes(batch, 1, PART_BYTES):
                 texts = strings(part.column(1))
                 found = codec.encode_batch(texts)
                 ids = np.frombuffer(b"".join(found), np.int32)
