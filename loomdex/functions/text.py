@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 WORD = r"[a-z0-9\u0080-￿]+"
 TOKEN = r"[A-Za-z0-9_$%\u0080-￿]+"
+# Phrases by which an answer says that it does not answer.
+REFUSALS = (
+    "i could not find enough", "cannot answer", "can't answer", "i don't know", "i do not know", "i am unable", "i'm unable", "unable to answer", "cannot help", "cannot determine", "cannot confirm", "cannot provide", "can't provide", "unable to provide", "out of scope", "outside the scope",
+    "not enough information", "insufficient information", "insufficient evidence", "cannot verify", "not able to", "no information available", "i'm sorry", "i am sorry", "don't have specific", "do not have specific", "don't have enough information", "do not have enough information", "don't have access",
+    "do not have access", "as of my last update", "there isn't specific", "does not have specific tuition fee details", "পর্যাপ্ত যাচাইকৃত তথ্য পাওয়া যায়নি", "যাচাইকৃত তথ্য পাওয়া যায়নি", "আমি জানি না", "জানি না", "জানতে পারি না", "তথ্য পাওয়া যায়নি", "তথ্য নেই", "apnar proshner uttor dewar jonno",
+    "uttor dewar jonno", "enough verified information", "paowa jay ni", "jani na", "jaani na",
+)
 TRACKING = ("fbclid", "gclid", "ref", "mc_cid", "mc_eid")
 
 
@@ -69,10 +76,22 @@ def holds_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
+def letters(text: Column, pattern: str) -> Column:
+    """How many characters of a class the text has."""
+    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+
+
 def script(text: Column) -> Column:
-    """bn, latin, mixed or none by the letters that occur."""
-    bn, latin = F.coalesce(text.rlike("[ঀ-৿]"), F.lit(False)), F.coalesce(text.rlike("[A-Za-z]"), F.lit(False))
-    return F.when(bn & latin, "mixed").when(bn, "bn").when(latin, "latin").otherwise("none")
+    """bn if half of the letters are Bengali, mixed if fewer are, latin, or none."""
+    bn, latin = letters(text, "[ঀ-৿]"), letters(text, "[A-Za-z]")
+    return F.when(bn + latin == 0, "none").when(2 * bn >= bn + latin, "bn").when(bn > 0, "mixed").otherwise("latin")
+
+
+def language_adherence(text: Column, asked: Column) -> Column:
+    """How far an answer is in the language asked for, by script: full from half of the letters on; banglish is Latin only."""
+    bn, latin = letters(text, "[ঀ-৿]"), letters(text, "[A-Za-z]")
+    share = lambda n: F.least(F.lit(1.0), F.coalesce(F.try_divide(n.cast("double"), (bn + latin).cast("double")) / 0.5, F.lit(0.0)))
+    return F.when(asked == "bn", share(bn)).when(asked == "banglish", ((bn == 0) & (latin > 0)).cast("double")).otherwise(share(latin))
 
 
 def language(text: Column, romanised: tuple[str, ...] = ("ki", "koto", "kivabe", "ache", "lagbe")) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdex.functions import vectors
+from loomdex.functions import questions, vectors
 
 #: At most so many query vectors are broadcast at once.
 QUERY_BLOCK = 1_000
@@ -78,14 +78,101 @@ def merge_lanes(lanes: list[DataFrame], key: str = "id", score: str = "similarit
     return best.select("r.*").drop("__lane")
 
 
-AUTHORITY = {"success": 0, "partial": 1}
-CURRENCY = {"current_date_sensitive": 0, "stable_reference": 1, "historical": 2}
+# Ranks and weights of a source's currency, and what is taken off for doubtful extraction.
+CURRENCY_RANK = {"current_date_sensitive": 0, "stable_reference": 1, "uncertain": 2, "historical": 3}
+CURRENCY_WEIGHT = {"current_date_sensitive": 0.035, "stable_reference": 0.020, "uncertain": -0.070, "historical": -0.110}
+OTHER_RANK, OTHER_WEIGHT, REVIEW_WEIGHT, EXTRACTION_WEIGHT = 4, -0.080, -0.100, -0.080
+LEXICAL_WEIGHT, MISMATCH = 0.035, -0.50
 
 
-def authority_order(extraction: Column, currency: Column) -> list[Column]:
-    """Sort keys that put good extraction first, then current sources; others last."""
-    rank = lambda c, table: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c), F.lit(9))
-    return [rank(extraction, AUTHORITY), rank(currency, CURRENCY)]
+def _by(c: Column, values: dict[str, float], other: float) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), c), F.lit(other))
+
+
+def authority_order(extraction: Column, currency: Column, manual: Column | None = None) -> list[Column]:
+    """Sort keys that put verified evidence first, then current sources; others last."""
+    doubt = (F.coalesce(extraction, F.lit("")) != "success").cast("int")
+    return [doubt if manual is None else doubt + manual.cast("int"), _by(currency, CURRENCY_RANK, OTHER_RANK)]
+
+
+def authority_weight(extraction: Column, currency: Column, manual: Column) -> Column:
+    """What a source's standing adds to the similarity of its rows."""
+    weight = _by(currency, CURRENCY_WEIGHT, OTHER_WEIGHT)
+    return weight + F.when(manual, REVIEW_WEIGHT).otherwise(0.0) + F.when(extraction != "success", EXTRACTION_WEIGHT).otherwise(0.0)
+
+
+def lexical_bonus(question_words: Column, content_words: Column) -> Column:
+    return F.least(F.lit(LEXICAL_WEIGHT), vectors.coverage(question_words, content_words) * LEXICAL_WEIGHT)
+
+
+def mismatch_penalty(marker: Column, program: Column, matches: Column) -> Column:
+    """For a row of another program than the one named; rows of no program are general and stay."""
+    return F.when(marker.isNotNull() & program.isNotNull() & (program != "") & ~matches, MISMATCH).otherwise(0.0)
+
+
+def ranked_evidence(scored: DataFrame, query_col: str = "query_id") -> DataFrame:
+    """scored with its place: by doubt, currency, cross score, relevance, topic and metadata bonus, similarity, and chunk id.
+
+    A window over the candidates of one query, whose number the search before bounds.
+    """
+    order = [*authority_order(F.col("extraction_status"), F.col("currency_status"), F.col("manual_review")), F.desc("cross_score"), F.desc("relevance"), F.desc("topic_bonus"), F.desc("metadata_bonus"), F.desc("similarity"), F.col("chunk_id")]
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy(query_col).orderBy(*order)))
+
+
+def metadata_bonus(text: Column, category: Column, program: Column, content_type: Column, marker: Column, matches: Column, at_level: Column, level: Column) -> Column:
+    """For summaries over all programs, for rows of the one program named, and for tables where numbers are asked for.
+
+    Rows of another program than the one named get the first only.
+    """
+    low, none = F.lower(text), F.coalesce(program, F.lit("")) == ""
+    broad = F.when((F.lower(category) == "undergraduate_programs") & none & questions.has(low, r"\bprograms?|courses?|degrees?\b"), 0.045).otherwise(0.0)
+    own = F.when(marker.isNull(), 0.0).otherwise(F.when(~at_level, 0.035).when(level == "postgraduate", 0.065).otherwise(0.060))
+    numbers = F.when((F.lower(content_type) == "table") & questions.has(low, questions.STRUCTURED), 0.050).otherwise(0.0)
+    return F.when(marker.isNotNull() & ~matches, broad).otherwise(broad + own + numbers)
+
+
+def reached(similarity: float, relevance: float) -> Column:
+    """Whether a row reaches both thresholds; questions that ask for whole lists use -1 for each."""
+    return (F.col("similarity") >= similarity) & (F.col("relevance") >= relevance)
+
+
+def source_limit(category: Column, preferred: Column, catalog_row: Column, most: int, k: int) -> Column:
+    """How many rows of one source may be chosen."""
+    return F.when(catalog_row, k).when(F.array_contains(preferred, F.lower(category)), most).otherwise(min(2, most))
+
+
+def candidates_wanted(k: int, multiplier: int = 5) -> int:
+    """How many rows a search fetches before ranking."""
+    return k * multiplier
+
+
+def structured_or_all(catalog: DataFrame, structured: Column, by: str) -> DataFrame:
+    """Rows that are structured; of a query that has none, all its catalog rows. One window by query."""
+    some = F.max(structured.cast("int")).over(Window.partitionBy(by))
+    return catalog.withColumn("__some", some).where(structured | (F.col("__some") == 0)).drop("__some")
+
+
+def answers_fact(fact: Column, text: Column, category: Column, program: Column, content: Column, content_type: Column, named: Column, matches: Column) -> Column:
+    """Whether evidence can answer a question, by the fact asked for, its category and its program.
+
+    named: the question names one program; matches: the row's program is that one, at the level asked for.
+    """
+    own = F.lower(category)
+    right = (F.coalesce(program, F.lit("")) != "") & matches
+    of_program = ~named | right
+    tuition = F.when(questions.has(text, questions.DOLLARS), own == "international_admission").otherwise(own == "tuition_and_fees") & ~(questions.has(text, questions.TAKA) & F.contains(content, F.lit("$"))) & of_program
+    waiver = (own == "waivers") & (~named | (~(questions.has(text, questions.GPA) & (F.lower(content_type) != "table")) & matches))
+    low, level = F.lower(text), F.lower(F.coalesce(program, F.lit("")))
+    asks = lambda p: low.rlike(rf"\b(?:{p})\b")
+    in_level = lambda word: F.contains(level, F.lit(word))
+    checklist = F.when(asks("online"), in_level("online")).when(asks("diploma"), in_level("diploma")).when(asks("masters?|postgraduate"), in_level("master") & ~in_level("diploma")).when(asks("bachelors?|undergraduate"), in_level("bachelor") & ~in_level("diploma") & ~in_level("online")).otherwise(True)
+    out = F.when(fact == "tuition", tuition).when((fact == "admission_gpa") & named, (own == "program_specific_admission") & right).when(fact == "waiver", waiver)
+    out = out.when(fact == "scholarship", own == "scholarships").when(fact == "documents", (own == "required_admission_documents") & checklist)
+    # The categories whose rows may state a fact.
+    for kind, allowed in (("admission_process", ["admission_process"]), ("diploma_application", ["admission_application_process"]), ("contact", ["admission_contact_information"]), ("international", ["international_admission"]), ("admission_overview", ["admission_overview", "current_admission_information"]), ("deadline", ["admission_notices", "admission_overview", "current_admission_information"])):
+        out = out.when(fact == kind, own.isin(allowed))
+    out = out.when(fact.isin("eligibility", "program_info"), (own == "undergraduate_programs") & of_program)
+    return out.when(fact.isNull() & named, own.isin("undergraduate_programs", "program_specific_admission") & right).otherwise(True)
 
 
 def select_diverse(ranked: DataFrame, k: int, per_source: int, alike: float = 0.88) -> DataFrame:

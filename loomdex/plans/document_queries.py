@@ -11,9 +11,6 @@ from loomdex.operators import chunking, documents, evaluation
 from loomdex.plans.registry import query, table
 
 WORDS_SQL = "regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9\\x{{80}}-\\x{{FFFF}}]+')"
-REFUSALS = ("i cannot", "not able to", "no information", "et est", "the the")
-INTENTS = (("(?i)(^| )of the( |$)", "catalog"), ("(?i)(^| )and the( |$)", "tuition"), ("(?i)(^| )de la( |$)", "admission"), ("(?i)(^| )der( |$)", "waiver"))
-
 
 def words_sql(c: str) -> str:
     return WORDS_SQL.format(c)
@@ -131,19 +128,11 @@ def boilerplate_filter(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(common, "line", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("script_detect", "SELECT turn_script, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '[ঀ-৿]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[ঀ-৿]') THEN 'bn' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'none' END AS turn_script FROM conversations) GROUP BY turn_script")
+@query("script_detect", "SELECT turn_script, count(*) AS n FROM (SELECT CASE WHEN bn + la = 0 THEN 'none' WHEN 2 * bn >= bn + la THEN 'bn' WHEN bn > 0 THEN 'mixed' ELSE 'latin' END AS turn_script FROM (SELECT len(regexp_extract_all(t, '[ঀ-৿]')) AS bn, len(regexp_extract_all(t, '[A-Za-z]')) AS la FROM (SELECT CASE turn % 5 WHEN 0 THEN '১২৩ আবেদন ' || left(text, 4) WHEN 1 THEN text || ' আবেদন' WHEN 2 THEN '12 - 34' ELSE text END AS t FROM conversations))) GROUP BY turn_script")
 def script_detect(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy(T.script(F.col("text")).alias("turn_script")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("intent_classify", "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)(^| )of the( |$)') THEN 'catalog' WHEN regexp_matches(text, '(?i)(^| )and the( |$)') THEN 'tuition' WHEN regexp_matches(text, '(?i)(^| )de la( |$)') THEN 'admission' WHEN regexp_matches(text, '(?i)(^| )der( |$)') THEN 'waiver' ELSE 'general' END AS intent FROM conversations WHERE role = 'user'")
-def intent_classify(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.first_match(F.col("text"), INTENTS, "general").alias("intent"))
-
-
-@query("refusal_flag", "SELECT conv_id, turn, contains(lower(text), 'i cannot') OR contains(lower(text), 'not able to') OR contains(lower(text), 'no information') OR contains(lower(text), 'et est') OR contains(lower(text), 'the the') AS refused FROM conversations WHERE role = 'assistant'")
-def refusal_flag(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.any_phrase(F.col("text"), REFUSALS).alias("refused"))
+    turn, text = F.col("turn") % 5, F.col("text")
+    t = F.when(turn == 0, F.concat(F.lit("১২৩ আবেদন "), F.substring(text, 1, 4))).when(turn == 1, F.concat(text, F.lit(" আবেদন"))).when(turn == 2, "12 - 34").otherwise(text)
+    return table(spark, d, "conversations").groupBy(T.script(t).alias("turn_script")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("history_last6", "SELECT conv_id, turn, count(*) OVER w AS n_before, coalesce(sum(length(text)) OVER w, 0)::BIGINT AS n_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)")

@@ -75,7 +75,7 @@ def relevance_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "authority_ranked",
-    """SELECT doc_id, row_number() OVER (ORDER BY CASE extraction WHEN 'success' THEN 0 WHEN 'partial' THEN 1 ELSE 9 END, CASE currency WHEN 'current_date_sensitive' THEN 0 WHEN 'stable_reference' THEN 1 WHEN 'historical' THEN 2 ELSE 9 END, n_chars DESC, doc_id) AS place
+    """SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN extraction = 'success' THEN 0 ELSE 1 END, CASE currency WHEN 'current_date_sensitive' THEN 0 WHEN 'stable_reference' THEN 1 WHEN 'uncertain' THEN 2 WHEN 'historical' THEN 3 ELSE 4 END, n_chars DESC, doc_id) AS place
     FROM (SELECT doc_id, n_chars, CASE WHEN quality = 1 THEN 'success' WHEN quality = 0 THEN 'partial' END AS extraction, CASE doc_id % 4 WHEN 0 THEN 'current_date_sensitive' WHEN 1 THEN 'stable_reference' WHEN 2 THEN 'historical' ELSE 'uncertain' END AS currency FROM documents LEFT JOIN labels USING (doc_id)) ORDER BY place LIMIT 100""",
 )
 def authority_ranked(spark: SparkSession, d: str) -> DataFrame:
