@@ -98,7 +98,18 @@ BROADCAST_IDS = 500_000
 def bounded(keys: DataFrame) -> DataFrame:
     """keys, stored and counted; marked for a broadcast if they are few, else left to be joined by a shuffle."""
     held = cut(keys)
-    return F.broadcast(held) if held.count() <= BROADCAST_IDS else held
+    return held.hint("broadcast") if held.count() <= BROADCAST_IDS else held
+
+
+def matched(rows: DataFrame, side: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows joined with side, whose columns are the keys with "_" behind, null-safely.
+
+    The join goes by one hash of the keys, a long, and then by the keys: a broadcast table of longs is as large as its
+    rows, one of other keys takes a page of memory, however few they are.
+    """
+    hashed, other = rows.withColumn("__hash", F.xxhash64(*keys)), side.withColumn("__hash_", F.xxhash64(*(f"{k}_" for k in keys)))
+    same = [F.coalesce(F.col(k) == F.col(f"{k}_"), F.col(k).isNull() & F.col(f"{k}_").isNull()) for k in keys]
+    return hashed.join(other, reduce(Column.__and__, same, F.col("__hash") == F.col("__hash_")), how).drop("__hash", "__hash_")
 
 
 def without(docs: DataFrame, keys: list[str], dropped: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -106,15 +117,12 @@ def without(docs: DataFrame, keys: list[str], dropped: DataFrame, repeated: Data
 
     Keys compare null-safely. Where few rows go, no text moves.
     """
-    match = lambda rows, side: reduce(Column.__and__, (rows[k].eqNullSafe(side[f"{k}_"]) for k in keys))
     named = lambda df: df.select(*(F.col(k).alias(f"{k}_") for k in keys))
     again = cut(named(repeated))
-    gone = bounded(named(dropped).unionByName(again).distinct())
-    out = docs.join(gone, match(docs, gone), "left_anti")
+    out = matched(docs, bounded(named(dropped).unionByName(again).distinct()), keys, "left_anti")
     if again.isEmpty():
         return out
-    same = bounded(again)
-    return out.unionByName(docs.join(same, match(docs, same), "left_semi").dropDuplicates(keys))
+    return out.unionByName(matched(docs, bounded(again), keys, "left_semi").dropDuplicates(keys))
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded, cut, map_arrow, strings, without
+from .common import Batches, bounded, cut, map_arrow, matched, strings, without
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -44,9 +44,9 @@ KEY = np.dtype(np.uint16)
 #: What tells rows apart: the id and two hashes of the text.
 KEYS = ["doc_id", "text1", "text2"]
 #: A chunk of a dense region has about so many sets, and shingles, at most.
-CHUNK, CHUNK_SHINGLES = 1024, 2_000_000
+CHUNK, CHUNK_SHINGLES = 512, 500_000
 #: Cells of the matrices of a comparison of chunks at a time.
-CELLS = 8_000_000
+CELLS = 2_000_000
 
 
 class Shingles(dict):
@@ -204,7 +204,7 @@ def sets_of(nodes: DataFrame, source: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([shingles.of(x).tobytes() for x in strings(batch.column("text"))], pa.binary())], ["id", "shingles"])
 
     ids = bounded(nodes.select("rep", *(F.col(k).alias(f"{k}_") for k in KEYS)).distinct())
-    own = source.join(ids, reduce(Column.__and__, (source[k].eqNullSafe(ids[f"{k}_"]) for k in KEYS)))
+    own = matched(source, ids, KEYS, "inner")
     return map_arrow(own.select("rep", "text"), run, "id long, shingles binary")
 
 
@@ -299,26 +299,27 @@ def dense_links(entries: DataFrame, reps: DataFrame, source: DataFrame, width: i
     """Links (a, b) of labels by all pairs of the regions of entries with more than WINDOW + 1 sets; None if there are none.
 
     Chunks 0, 1, ... hold the sets whose label is not the commonest of their region, and -1, -2, ... those whose label it
-    is. Each of the former meets every chunk.
+    is. Each of the former meets every chunk. A region is
+    known by a hash of its tree and prefix; two that share one are compared together, which costs time only.
     """
-    own = entries.select("tree", F.substring("key", 1, 2 * LEAST).alias("region"), "rep", "n", "label")
-    regions = own.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
-    regions = cut(regions.where((F.col("sets") > WINDOW + 1) & (F.col("low") != F.col("high"))).select("tree", "region"))
+    own = entries.select(F.xxhash64("tree", F.substring("key", 1, 2 * LEAST)).alias("region"), "rep", "n", "label")
+    regions = own.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
+    regions = cut(regions.where((F.col("sets") > WINDOW + 1) & (F.col("low") != F.col("high"))).select("region"))
     if regions.isEmpty():
         return None
-    rows = cut(own.join(regions, ["tree", "region"]))
-    by_label = rows.groupBy("tree", "region", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
+    rows = cut(own.join(regions, "region"))
+    by_label = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
     parts = lambda sets, size: F.greatest(F.lit(1), F.ceil(sets / CHUNK), F.ceil(size / CHUNK_SHINGLES)).cast("int")
-    most = by_label.groupBy("tree", "region").agg(F.max(F.struct("sets", "label", "size")).alias("m"), F.sum("sets").alias("sets"), F.sum("size").alias("size"))
-    most = most.select("tree", "region", F.col("m.label").alias("common"), parts(F.col("m.sets"), F.col("m.size")).alias("same"), parts(F.col("sets") - F.col("m.sets"), F.col("size") - F.col("m.size")).alias("other"))
+    most = by_label.groupBy("region").agg(F.max(F.struct("sets", "label", "size")).alias("m"), F.sum("sets").alias("sets"), F.sum("size").alias("size"))
+    most = most.select("region", F.col("m.label").alias("common"), parts(F.col("m.sets"), F.col("m.size")).alias("same"), parts(F.col("sets") - F.col("m.sets"), F.col("size") - F.col("m.size")).alias("other"))
     # Rows of one id and text are one document: of one set.
     sets = sets_of(reps.join(rows.select("rep").distinct(), "rep", "left_semi"), source, width).groupBy("id").agg(F.max("shingles").alias("shingles"))
-    dealt = rows.join(most, ["tree", "region"]).withColumn("chunk", F.when(F.col("label") == F.col("common"), -1 - F.pmod(F.xxhash64("rep"), F.col("same"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("other"))).cast("int"))
+    dealt = rows.join(most, "region").withColumn("chunk", F.when(F.col("label") == F.col("common"), -1 - F.pmod(F.xxhash64("rep"), F.col("same"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("other"))).cast("int"))
     meet = F.when(F.col("chunk") < 0, F.expr("transform(sequence(0, other - 1), x -> struct(x as i, chunk as j))")).otherwise(
         F.expr("concat(transform(sequence(0, other - 1), x -> struct(least(x, chunk) as i, greatest(x, chunk) as j)), transform(sequence(1, same), x -> struct(chunk as i, -x as j)))")
     )
-    dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").select("tree", "region", "label", "chunk", "shingles", F.inline(meet))
-    return cut(dealt.groupBy("tree", "region", "i", "j").applyInArrow(lambda group: _compare(group, percent), "a long, b long").distinct())
+    dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").select("region", "label", "chunk", "shingles", F.inline(meet))
+    return cut(dealt.groupBy("region", "i", "j").applyInArrow(lambda group: _compare(group, percent), "a long, b long").distinct())
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, nulls: bool) -> tuple[DataFrame, DataFrame]:
