@@ -65,20 +65,14 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder, its lineage cut there.
-
-    Files go when the frame is no longer referenced, if the session's cleaner is set so.
-    """
-    shared_folder(df.sparkSession)
-    with shuffles_dropped(df.sparkSession):
-        return df.checkpoint(eager=True)
+#: Folders of the tables stored so far, by application.
+_stored: dict[str, list[str]] = {}
 
 
 def store(df: DataFrame) -> DataFrame:
-    """df computed once into a table of the shared checkpoint folder, and read from there.
+    """df computed once into a table of the shared checkpoint folder, and read from there: its lineage is cut.
 
-    As cut(), but compressed and columnar: for what is large or repeats. The folder is removed when the application ends.
+    Shuffles that only its plan needed go at once. The folder is removed when the application ends, if step() has not before.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -88,16 +82,31 @@ def store(df: DataFrame) -> DataFrame:
     name = f"{folder}/{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         df.write.parquet(name)
+    _stored.setdefault(sc.applicationId, []).append(name)
     return spark.read.schema(df.schema).parquet(name)
 
 
+def step(spark: SparkSession, f: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """f(), stored; the tables that f stored on its way are removed, so nothing else may read them."""
+    made = _stored.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    out = f()
+    if out is not None:
+        out = store(out)
+    kept = made[-1:] if out is not None else []
+    for name in made[before : len(made) - len(kept)]:
+        remove(spark, name)
+    made[before:] = kept
+    return out
+
+
 #: At most so many rows of keys are broadcast.
 BROADCAST_IDS = 500_000
 
 
 def bounded(keys: DataFrame) -> DataFrame:
     """keys, stored and counted; marked for a broadcast if they are few, else left to be joined by a shuffle."""
-    held = cut(keys)
+    held = store(keys)
     return held.hint("broadcast") if held.count() <= BROADCAST_IDS else held
 
 
@@ -118,7 +127,7 @@ def without(docs: DataFrame, keys: list[str], dropped: DataFrame, repeated: Data
     Keys compare null-safely. Where few rows go, no text moves.
     """
     named = lambda df: df.select(*(F.col(k).alias(f"{k}_") for k in keys))
-    again = cut(named(repeated))
+    again = store(named(repeated))
     out = matched(docs, bounded(named(dropped).unionByName(again).distinct()), keys, "left_anti")
     if again.isEmpty():
         return out

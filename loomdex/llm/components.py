@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import store
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each step moves edges only, by aggregates that combine on the map side and plain equi-joins, so a node of very many
     edges is split by the planner. Steps end when the edges no longer change, after O(log n) of them.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    now = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if mark == seen or mark[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = mark
-        step = _small_star(_large_star(now)).where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        now = cut(step)
+        now = store(_small_star(_large_star(now)).where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())

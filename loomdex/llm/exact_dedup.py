@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, store, text_of, without
+from .common import store, text_of, without
 
 FIRST_DIGIT, WIDEN = 64, 32
 REST = 2**31 - 1
@@ -37,14 +37,14 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while True:
         digit = F.substring("rest", 1, width)
         groups = rest.select("doc_id", "gid", digit.alias("digit")).groupBy("gid", "digit").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        groups = cut(groups.where("group_size > 1").select("*", F.monotonically_increasing_id().alias("next_gid"), (F.octet_length("digit") < width).alias("ended")))
+        groups = store(groups.where("group_size > 1").select("*", F.monotonically_increasing_id().alias("next_gid"), (F.octet_length("digit") < width).alias("ended")))
         shown = rest.select("doc_id", "gid", digit.alias("digit"), "text_sha256").join(groups, ["gid", "digit"], "left")
         done.append(shown.where("coalesce(ended, true)").select("doc_id", F.when(F.col("ended"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256"))
         going = groups.where(~F.col("ended")).select("gid", "digit", "next_gid")
         if going.isEmpty():
             break
         longer = rest.where(F.octet_length("rest") >= width).select("*", digit.alias("digit"))
-        rest = cut(longer.join(going, ["gid", "digit"]).select("doc_id", F.col("next_gid").alias("gid"), F.substring("rest", width + 1, REST).alias("rest"), "text_sha256"))
+        rest = store(longer.join(going, ["gid", "digit"]).select("doc_id", F.col("next_gid").alias("gid"), F.substring("rest", width + 1, REST).alias("rest"), "text_sha256"))
         width *= widen
     out = reduce(DataFrame.unionByName, done)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("text_sha256")).alias("text_sha256"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded, cut, map_arrow, matched, strings, without
+from .common import Batches, bounded, map_arrow, matched, step, store, strings, without
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -44,7 +44,7 @@ KEY = np.dtype(np.uint16)
 #: What tells rows apart: the id and two hashes of the text.
 KEYS = ["doc_id", "text1", "text2"]
 #: A chunk of a dense region has about so many sets, and shingles, at most.
-CHUNK, CHUNK_SHINGLES = 512, 500_000
+CHUNK, CHUNK_SHINGLES = 1024, 1_000_000
 #: Cells of the matrices of a comparison of chunks at a time.
 CELLS = 2_000_000
 
@@ -184,7 +184,7 @@ def candidates(entries: DataFrame, window: int, depths: tuple[int, ...], percent
             key, tree, rep, n, label = carried
             yield rows(rep, None, tree, [k.astype(">u2").tobytes() for k in key], n, label)
 
-    found = cut(map_arrow(ordered.select("tree", "key", "rep", "n", "label"), lambda it: near(it, True), schema))
+    found = store(map_arrow(ordered.select("tree", "key", "rep", "n", "label"), lambda it: near(it, True), schema))
     inner = found.where("b is not null").select("a", "b")
     # Of each partition some 2 * window rows at most, and each tree's in a task of their own.
     seam = found.where("b is null").select("tree", "key", F.col("a").alias("rep"), "n", "label").distinct().repartition("tree").sortWithinPartitions("tree", "key", "rep")
@@ -230,7 +230,7 @@ def links(pairs: DataFrame, reps: DataFrame, source: DataFrame, width: int, perc
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("sign").alias(f"sign_{c}"))
-    likely = cut(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sign_a", "sign_b"), agree, "a long, b long"))
+    likely = store(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sign_a", "sign_b"), agree, "a long, b long"))
     ends = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
     sets = sets_of(reps.join(ends, "rep", "left_semi"), source, width)
     first, second = (sets.select(F.col("id").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
@@ -304,10 +304,10 @@ def dense_links(entries: DataFrame, reps: DataFrame, source: DataFrame, width: i
     """
     own = entries.select(F.xxhash64("tree", F.substring("key", 1, 2 * LEAST)).alias("region"), "rep", "n", "label")
     regions = own.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
-    regions = cut(regions.where((F.col("sets") > WINDOW + 1) & (F.col("low") != F.col("high"))).select("region"))
+    regions = store(regions.where((F.col("sets") > WINDOW + 1) & (F.col("low") != F.col("high"))).select("region"))
     if regions.isEmpty():
         return None
-    rows = cut(own.join(regions, "region"))
+    rows = store(own.join(regions, "region"))
     by_label = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("size"))
     parts = lambda sets, size: F.greatest(F.lit(1), F.ceil(sets / CHUNK), F.ceil(size / CHUNK_SHINGLES)).cast("int")
     most = by_label.groupBy("region").agg(F.max(F.struct("sets", "label", "size")).alias("m"), F.sum("sets").alias("sets"), F.sum("size").alias("size"))
@@ -319,7 +319,7 @@ def dense_links(entries: DataFrame, reps: DataFrame, source: DataFrame, width: i
         F.expr("concat(transform(sequence(0, other - 1), x -> struct(least(x, chunk) as i, greatest(x, chunk) as j)), transform(sequence(1, same), x -> struct(chunk as i, -x as j)))")
     )
     dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").select("region", "label", "chunk", "shingles", F.inline(meet))
-    return cut(dealt.groupBy("region", "i", "j").applyInArrow(lambda group: _compare(group, percent), "a long, b long").distinct())
+    return store(dealt.groupBy("region", "i", "j").applyInArrow(lambda group: _compare(group, percent), "a long, b long").distinct())
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, nulls: bool) -> tuple[DataFrame, DataFrame]:
@@ -329,10 +329,10 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text1"), F.xxhash64(F.lit(1), text).alias("text2"), text.alias("text"))
-    sketches = cut(map_arrow(source, lambda it: _sketch(it, width), "doc_id long, text1 long, text2 long, n long, digest binary, sign binary"))
+    sketches = store(map_arrow(source, lambda it: _sketch(it, width), "doc_id long, text1 long, text2 long, n long, digest binary, sign binary"))
     some = sketches.where("digest is not null" if nulls else "doc_id is not null and digest is not null")
     reps = some.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), *KEYS, "n", "sign")).alias("r")).select("digest", *(F.col(f"r.{c}").alias(c) for c in (*KEYS, "n", "sign")))
-    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))  # stored, so each use sees the same numbers
+    reps = store(reps.withColumn("rep", F.monotonically_increasing_id()))  # stored, so each use sees the same numbers
 
     def entries(labels: DataFrame | None, trees: range) -> DataFrame:
         own = reps.select("rep", "n", "sign", F.col("rep").alias("label"))
@@ -346,10 +346,11 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
 
     near = lambda labels, trees, window, depths: links(candidates(entries(labels, trees), window, depths, percent), reps, source, width, percent)
     dense = lambda labels, trees: dense_links(entries(labels, trees), reps, source, width, percent)
-    labels = components(near(None, range(FIRST_TREES), FIRST_WINDOW, (LEAST, DEPTH)))
+    spark = docs.sparkSession
+    first = step(spark, lambda: components(near(None, range(FIRST_TREES), FIRST_WINDOW, (LEAST, DEPTH))))
     # The first tree's dense regions alone leave few labels in hot groups for those of the others.
-    labels = joined(labels, near(labels, range(TREES), WINDOW, ()), dense(labels, range(1)))
-    labels = joined(labels, dense(labels, range(1, TREES)))
+    second = step(spark, lambda: joined(first, near(first, range(TREES), WINDOW, ()), step(spark, lambda: dense(first, range(1)))))
+    labels = step(spark, lambda: joined(second, step(spark, lambda: dense(second, range(1, TREES)))))
     return sketches.select(*KEYS, "n", "digest"), reps.select("rep", "digest", *KEYS).join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
@@ -378,7 +379,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows, reps = classes(docs, id_col, text_col, width, percent, True)
     kept = reps.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), *KEYS)).alias("m")).select("component", *(F.col(f"m.{k}").alias(f"{k}_") for k in KEYS))
     stays = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in KEYS))
-    marked = cut(rows.join(reps.select("digest", "component").join(kept, "component"), "digest").select(*KEYS, stays.alias("stays")))
+    marked = store(rows.join(reps.select("digest", "component").join(kept, "component"), "digest").select(*KEYS, stays.alias("stays")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.withColumns({"doc_id__": F.col(id_col).cast("long"), "text1__": F.xxhash64(text), "text2__": F.xxhash64(F.lit(1), text)})
     named = marked.select(*(F.col(k).alias(f"{k}__") for k in KEYS), "stays")
