@@ -52,7 +52,7 @@ CELLS = 2_000_000
 class Shingles(dict):
     """64-bit hashes of words by word, and from them of a document's distinct shingles, sorted."""
 
-    def __init__(self, width: int = SHINGLE, most: int = 400_000):
+    def __init__(self, width: int = SHINGLE, most: int = 200_000):
         super().__init__()
         self.width, self.most = width, most
 
