@@ -65,6 +65,16 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once into the shared checkpoint folder, its lineage cut there.
+
+    Unlike a stored table it has no size that the planner knows, so joins with it are the same at every size.
+    """
+    shared_folder(df.sparkSession)
+    with shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
 #: Folders of the tables stored so far, by application.
 _stored: dict[str, list[str]] = {}
 
