@@ -30,12 +30,10 @@ KINDS = ("assign", "access", "hex", "crf")
 TOKEN = re.compile(r"[\w+/-]+|[^\w\s+/-]")
 OUT, BEGIN, INSIDE = 0, 1, 2
 NEVER = -1e9
-#: At most so many documents, and lines of each, give the training lines.
-TRAIN_DOCS, TRAIN_LINES, TRAIN_TOKENS = 400, 5, 40
+#: At most so many documents, lines of each, and characters and words of a line, give the training lines; lines and the
+#: place in a long line are drawn by hash from the whole text.
+TRAIN_DOCS, TRAIN_LINES, TRAIN_CHARS, TRAIN_TOKENS = 600, 12, 2_000, 40
 EPOCHS, RATE, DECAY, BITS = 8, 0.5, 1e-4, 15
-#: A file feature: how much of the document's first and further lines looks like code or settings.
-CODE = re.compile(r"[={};]")
-LONGEST = 64  # tokens kept in a worker's table are no longer than this
 SCHEMA = "doc_id long, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>"
 
 
@@ -75,7 +73,9 @@ def token_features(token: str) -> tuple[list[str], list[str]]:
     if len(form(token)) == 1:
         changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
         hexes = n >= 8 and all(c in "0123456789abcdef" for c in low)
-        own += [f"changes={min(changes, 6)}", f"shape={shape(token)[:12]}", f"hex={hexes:d},{size}", f"head={token[:3] if n >= 16 else ''}"]
+        kind = [c.isdigit() + 2 * c.isupper() for c in token]
+        turns = min(12, sum(a != b for a, b in zip(kind, kind[1:], strict=False)))
+        own += [f"turns={turns}", f"turns,size={turns // 2},{size}", f"changes={min(changes, 6)}", f"shape={shape(token)[:12]}", f"hex={hexes:d},{size}", f"head={token[:3] if n >= 16 else ''}"]
     if n == 1 and not token.isalnum():
         own.append(f"mark={token}")
     return own, [f"size={min(n, 20) // 4}", f"kinds={kinds}"]
@@ -92,9 +92,10 @@ def bucket(name: str) -> int:
 class Tokens(dict):
     """Scores by token text: nine numbers for each, of the token, as seen from the next one and from the one before."""
 
-    def __init__(self, field: Field, most: int = 300_000):
+    def __init__(self, field: Field, most: int = 300_000, most_chars: int = 8_000_000):
         super().__init__()
         self.field, self.weights, self.most, self.forms = field, field.weights, most, {}
+        self.chars, self.most_chars = 0, most_chars
         self.rows = np.zeros((4096, 9), np.float32)
 
     def __missing__(self, token: str) -> int:
@@ -111,12 +112,14 @@ class Tokens(dict):
         word = self.field.words.get(token[:20].lower())
         self.rows[n] = row if word is None else row + np.concatenate([np.zeros(3, np.float32), *word])
         self[token] = n
+        self.chars += len(token)
         return n
 
     def of(self, tokens: list[str]) -> np.ndarray:
-        if len(self) > self.most:
+        if len(self) > self.most or self.chars > self.most_chars:
             self.clear()
             self.forms.clear()
+            self.chars = 0
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         return self.rows[at]
 
@@ -167,24 +170,49 @@ def file_feature(text: str) -> int:
     return min(3, int(200 * sum(text.count(c) for c in "={};") / max(1, len(text))))
 
 
+LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (DIGIT + "abcdef", DIGIT + "ABCDEF", LOWER + DIGIT, UPPER + DIGIT, LOWER + UPPER + DIGIT, LOWER + UPPER + DIGIT, LOWER + UPPER + DIGIT + "+/", LOWER + UPPER + DIGIT + "_-")
+
+
+def pick(rng: np.random.Generator, letters: str, n: int) -> str:
+    return "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+
 def secret_value(rng: np.random.Generator) -> str:
-    """A made-up secret in one of some public formats."""
-    pick = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
-    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    """A made-up secret: random characters of a random alphabet and length, in one to three parts, often behind a random prefix.
+
+    No vendor's format is written down, so the field cannot learn formats by heart.
+    """
+    letters = ALPHABETS[rng.integers(0, len(ALPHABETS))]
+    parts = int(rng.choice([1, 1, 1, 2, 3]))
+    body = str(rng.choice([".", "-"])).join(pick(rng, letters, int(rng.integers(16, 49) if parts == 1 else rng.integers(10, 33))) for _ in range(parts))
+    at = int(rng.integers(1, 8))  # always some digit among the first ones
+    body = body[:at] + pick(rng, DIGIT, 2) + body[at:]
+    if rng.random() < 0.5:
+        return body
+    head = pick(rng, (LOWER, UPPER, LOWER + UPPER)[rng.integers(0, 3)], int(rng.integers(2, 6)))
+    middle = pick(rng, LOWER, int(rng.integers(2, 5))) + str(rng.choice(["_", "-"])) if rng.random() < 0.3 else ""
+    return head + str(rng.choice(["_", "-", "", "."])) + middle + body
+
+
+def decoy(rng: np.random.Generator, words: list[str]) -> str:
+    """What may look like a secret and is none: identifiers made of words, numbers, dates, versions, paths."""
+    own = [w for w in words if w.isalpha()] or ["name"]
+    some = [str(own[i]) for i in rng.integers(0, len(own), int(rng.integers(2, 6)))]
     kind = rng.integers(0, 7)
     if kind == 0:
-        return pick(digit + "abcdef", int(rng.choice([32, 40, 64])))
+        return "_".join(some) + pick(rng, DIGIT, int(rng.integers(0, 3)))
     if kind == 1:
-        return "AKIA" + pick(upper + digit, 16)
+        return "".join(w[:1].upper() + w[1:] for w in some) + pick(rng, DIGIT, int(rng.integers(0, 3)))
     if kind == 2:
-        return "ghp_" + pick(lower + upper + digit, 36)
+        return pick(rng, DIGIT, int(rng.integers(4, 25)))
     if kind == 3:
-        return pick(lower + upper + digit + "+/", int(rng.choice([40, 44, 64])))
+        return "20" + pick(rng, DIGIT, 2) + "-0" + pick(rng, "123456789", 1) + "-1" + pick(rng, DIGIT, 1)
     if kind == 4:
-        return "eyJ" + pick(lower + upper + digit, 20) + "." + pick(lower + upper + digit + "_-", 30)
+        return "v" + ".".join(pick(rng, DIGIT, int(rng.integers(1, 3))) for _ in range(3))
     if kind == 5:
-        return pick(lower + upper + digit, int(rng.integers(12, 33))) + pick(digit, 2)
-    return "sk_live_" + pick(lower + upper + digit, 24)
+        return "-".join(some) + "-" + pick(rng, DIGIT, int(rng.integers(1, 5)))
+    return "https://example.com/" + "/".join(some) + "/" + pick(rng, DIGIT, int(rng.integers(1, 7)))
 
 
 def unclear(line: str, secrets: list[tuple[int, int]]) -> bool:
@@ -196,27 +224,29 @@ def unclear(line: str, secrets: list[tuple[int, int]]) -> bool:
     return False
 
 
-def training_lines(texts: list[str], seed: int = 3) -> list[tuple[list[str], list[int], int]]:
-    """(tokens, tags, file feature) of lines as they are, tagged by the fixed patterns, and with a secret written in."""
+def training_lines(drawn: list[tuple[str, int]], seed: int = 3) -> list[tuple[list[str], list[int], int]]:
+    """(tokens, tags, file feature) of lines (text, file feature) as they are, tagged by the fixed patterns, and with a
+    secret or a decoy written in."""
     rng = np.random.default_rng(seed)
     out = []
     keys = ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "auth", "credential", "Authorization")
-    for text in texts:
-        lines = [x for x in text.split("\n") if x.strip()]
-        for i in rng.permutation(len(lines))[:TRAIN_LINES]:
-            line, file = " ".join(lines[i].split(" ")[:TRAIN_TOKENS]), file_feature(text)
-            secrets = [(s, e) for s, k, e in base_spans(line)]
-            secrets = [(ASSIGN.match(line, s).start(2) if ASSIGN.match(line, s) else s, e) for s, e in secrets]
-            if not unclear(line, secrets):
-                out.append((line, secrets, file))
-            if secrets or unclear(line, secrets) or rng.random() < 0.4:
-                continue
-            words_ = line.split(" ")
-            at, value = int(rng.integers(0, len(words_) + 1)), secret_value(rng)
-            key = str(rng.choice(keys))
-            lead = str(rng.choice(["", f"{key} = ", f"{key}: ", f"{key}=", f'{key} = "', f"{key} "]))
-            before = "".join(x + " " for x in words_[:at]) + lead
-            out.append((before + value + ('"' if lead.endswith('"') else "") + "".join(" " + x for x in words_[at:]), [(len(before), len(before) + len(value))], file))
+    for line, file in drawn:
+        line = " ".join(line.split(" ")[:TRAIN_TOKENS])
+        secrets = [(s, e) for s, k, e in base_spans(line)]
+        secrets = [(ASSIGN.match(line, s).start(2) if ASSIGN.match(line, s) else s, e) for s, e in secrets]
+        hidden = unclear(line, secrets)
+        if not hidden:
+            out.append((line, secrets, file))
+        chance = rng.random()
+        if secrets or hidden or chance < 0.2:
+            continue
+        words_ = line.split(" ")
+        at, real = int(rng.integers(0, len(words_) + 1)), chance < 0.7
+        value = secret_value(rng) if real else decoy(rng, words_)
+        key = str(rng.choice(keys if real else ("id", "name", "page", "date", "version", "see", "commit", "key")))
+        lead = str(rng.choice(["", f"{key} = ", f"{key}: ", f"{key}=", f'{key} = "', f"{key} "]))
+        before = "".join(x + " " for x in words_[:at]) + lead
+        out.append((before + value + ('"' if lead.endswith('"') else "") + "".join(" " + x for x in words_[at:]), [(len(before), len(before) + len(value))] if real else [], file))
     tagged = []
     for line, secrets, file in out:
         tokens, tags = [], []
@@ -361,6 +391,20 @@ class Scanner:
             at += n
 
 
+def drawn_lines(docs: DataFrame) -> list[tuple[str, int]]:
+    """(text, file feature) of the TRAIN_LINES lines of each document (doc_id, text) with the least hash of place and text.
+
+    A line of more than TRAIN_CHARS characters is read from a place in it that its hash gives.
+    """
+    text = F.col("text")
+    share = (F.length(text) - F.length(F.translate(text, "={};", ""))) * 200 / F.greatest(F.length(text), F.lit(1))
+    keyed = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.xxhash64("doc_id", i, x).alias("h"), x.alias("x"))), lambda s: F.trim(s.x) != "")
+    start = lambda s: F.pmod(s.h, F.greatest(F.length(s.x) - TRAIN_CHARS, F.lit(0)).cast("long") + 1).cast("int") + 1
+    some = F.transform(F.slice(F.array_sort(keyed), 1, TRAIN_LINES), lambda s: F.struct(s.h, F.substr(s.x, start(s), F.lit(TRAIN_CHARS)).alias("x")))
+    rows = docs.where("text is not null").select("doc_id", F.least(F.floor(share), F.lit(3)).cast("int").alias("file"), F.explode(some).alias("s")).select("doc_id", "s.h", "s.x", "file")
+    return [(r.x, r.file) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.h, r.x))]
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """One row per document: doc_id, base and spans (kind, start, end in code points; by start, then kind as in KINDS).
 
@@ -370,9 +414,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     drawn = sample_by_hash(source.select("doc_id").where("doc_id is not null"), "doc_id", train_docs)
-    short = F.slice(F.split("text", "\n"), 1, 400)  # of a training document only
-    texts = [r.text for r in sorted(source.join(F.broadcast(drawn.distinct()), "doc_id").select("doc_id", F.substring(F.array_join(short, "\n"), 1, 20_000).alias("text")).toLocalIterator(), key=lambda r: r.doc_id) if r.text]
-    lines = training_lines(texts)
+    lines = training_lines(drawn_lines(source.join(F.broadcast(drawn.distinct()), "doc_id")))
     shared = docs.sparkSession.sparkContext.broadcast(fit(lines) if lines else None)
 
     def run(batches: Batches) -> Batches:

@@ -140,6 +140,54 @@ def test_secrets(spark, odd, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_base_spans_are_those_of_a_plain_scan(texts):
+    rules = ((r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 8), (r"AKIA[A-Z0-9]+", 0, 0, 16), (r"[0-9a-f]+", 0, 0, 32))
+    hard = ["token=token=abcdefgh", "AKIAAKIA" + "A" * 12, "PassWord : 'x' secret='12345678", "f" * 31 + " " + "0" * 32 + "F", "api_key:=apikey: abcdefgh", "", "\u017fecret=abcdefgh \u212a", "é\U0001f600 token = a.b=c/d+e_"]
+    for text in [*texts.values(), *hard]:
+        found = []
+        for kind, (pattern, flags, group, least) in enumerate(rules):
+            rule, at = re.compile(pattern, flags), 0
+            while at < len(text or ""):
+                m = rule.match(text, at)
+                if m and len(m[group]) >= least:
+                    found.append((m.start(), kind, m.end()))
+                at = m.end() if m else at + 1
+        assert secrets.base_spans(text or "") == sorted(found)
+
+
+def test_formats_that_were_not_trained_on(texts):
+    """The field is fitted on random shapes; formats of vendors, none of which is written down there, are found."""
+    plain = [(line, secrets.file_feature(t)) for t in texts.values() if t for line in t.split("\n") if len(line.split()) > 4 and not secrets.base_spans(line)]
+    learn, held = plain[::2][:4_000], plain[1::2]
+    scanner = secrets.Scanner(secrets.fit(secrets.training_lines(learn)))
+    rng = np.random.default_rng(11)
+    every = secrets.LOWER + secrets.UPPER + secrets.DIGIT
+    pick = lambda n, letters=every: secrets.pick(rng, letters, n)
+    formats = (lambda: "xoxb-" + pick(12, secrets.DIGIT) + "-" + pick(24), lambda: "AIza" + pick(35), lambda: "SG." + pick(22) + "." + pick(43), lambda: "hf_" + pick(34), lambda: "npm_" + pick(36), lambda: "ghp_" + pick(36))
+    hit, wrong = 0, 0
+    for i in range(300):
+        words = held[int(rng.integers(0, len(held)))][0].split(" ")[:60]
+        before, value = " ".join(words[:3]) + " ", formats[i % len(formats)]()
+        spans = scanner.tagged([before + value + " " + " ".join(words[3:])])[0]
+        hit += (len(before), len(before) + len(value)) in spans
+        wrong += bool(scanner.tagged([" ".join([*words[:3], secrets.decoy(rng, words), *words[3:]])])[0])
+    assert hit >= 270 and wrong <= 6
+
+
+def test_token_scores_are_bounded(texts):
+    tokens = secrets.Tokens(secrets.Field(np.zeros((1 << secrets.BITS, 3), np.float32), np.zeros((3, 3), np.float32), {}), most_chars=1_000)
+    for i in range(5):
+        tokens.of([f"{i}" * 900])
+    assert len(tokens) <= 2
+
+
+def test_training_lines_are_drawn_from_whole_texts(spark):
+    text = "\n".join(f"line {i}" for i in range(2_000)) + "\n" + "word " * 5_000
+    drawn = secrets.drawn_lines(frame(spark, [(i, text) for i in range(20)] + [(50, ""), (51, None)]))
+    assert len(drawn) == 20 * secrets.TRAIN_LINES and all(len(x) <= secrets.TRAIN_CHARS for x, _ in drawn)
+    assert max(int(x.split()[1]) for x, _ in drawn if x.startswith("line")) > 1_500
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
