@@ -333,8 +333,17 @@ class Scanner:
 
     def __init__(self, field: Field):
         self.field, self.tokens = field, Tokens(field)
-        # What the transitions can add at most to leaving the outside tag, per tagged token.
-        self.slack = float(max(0, field.transitions[field.transitions > NEVER / 2].max() - min(0, field.transitions[OUT, OUT])) * 2)
+        # What the transitions into a token can add at most to tagging it begin or inside instead of outside. The way back
+        # to outside is counted with the begin that each secret has; into the first token of a line there is no transition.
+        t = field.transitions - field.transitions[OUT, OUT]
+        back = max(0.0, float(t[[BEGIN, INSIDE], OUT].max()))
+        self.first, self.begin, self.inside = back, back + float(t[:, BEGIN].max()), float(t[[BEGIN, INSIDE], INSIDE].max())
+
+    def can(self, e: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Lines that may have a tagged token: where every token loses by any tag, all of them are outside."""
+        begin = np.full(len(e), self.begin, np.float32)
+        begin[np.flatnonzero(np.r_[True, line[1:] != line[:-1]])] = self.first
+        return np.unique(line[np.maximum(e[:, BEGIN] + begin, e[:, INSIDE] + self.inside) > e[:, OUT] - 1e-4])
 
     def tagged(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """Spans of secrets in each text."""
@@ -354,9 +363,8 @@ class Scanner:
         line = np.repeat(np.arange(len(lines)), sizes)
         files = np.stack([self.field.file(x) for x in texts])
         e = emissions(self.tokens.of([x for f in found for x in f]), line, files[np.array(owner)[line]])
-        can = np.unique(line[np.maximum(e[:, BEGIN], e[:, INSIDE]) + self.slack > e[:, OUT]])
         start = np.cumsum(sizes) - sizes
-        for own in self.batches(can, sizes):
+        for own in self.batches(self.can(e, line), sizes):
             n = sizes[own]
             padded = np.zeros((len(own), int(n.max()), 3), np.float32)
             which = np.repeat(np.arange(len(own)), n)

@@ -174,6 +174,17 @@ def test_formats_that_were_not_trained_on(texts):
     assert hit >= 270 and wrong <= 6
 
 
+def test_lines_left_out_are_outside(texts):
+    """Decoding every line gives the spans that decoding only the lines that can have a tag gives."""
+    lines = [(line, secrets.file_feature(t)) for t in texts.values() for line in t.split("\n") if line]
+    scanner = secrets.Scanner(secrets.fit(secrets.training_lines(lines[:1_500])))
+    rng = np.random.default_rng(5)
+    some = [secrets.secret_value(rng) + " " + line + " " + secrets.secret_value(rng) if i % 9 == 0 else line for i, (line, _) in enumerate(lines[:3_000])]
+    few = scanner.tagged(some)
+    scanner.can = lambda e, line: np.unique(line)
+    assert scanner.tagged(some) == few and sum(map(len, few)) > 300
+
+
 def test_token_scores_are_bounded(texts):
     tokens = secrets.Tokens(secrets.Field(np.zeros((1 << secrets.BITS, 3), np.float32), np.zeros((3, 3), np.float32), {}), most_chars=1_000)
     for i in range(5):
