@@ -170,6 +170,16 @@ def by_bytes(batch: pa.RecordBatch, column: str | int, most: int) -> Iterator[pa
         lo = hi
 
 
+def lines_by_hash(key: Column, text: Column, most: int, chars: int) -> Column:
+    """The `most` lines with the least hash of key, place and text, blank ones left out, as structs of hash h and text x.
+
+    A line of more than `chars` characters is read from a place in it that its hash gives, so no part of a text is favoured.
+    """
+    keyed = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.xxhash64(key, i, x).alias("h"), x.alias("x"))), lambda s: F.trim(s.x) != "")
+    start = lambda s: F.pmod(s.h, F.greatest(F.length(s.x) - chars, F.lit(0)).cast("long") + 1).cast("int") + 1
+    return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda s: F.struct(s.h.alias("h"), F.substr(s.x, start(s), F.lit(chars)).alias("x")))
+
+
 def sample_by_hash(df: DataFrame, key: str, rows: int, salt: int = 7) -> DataFrame:
     """At most `rows` rows, those with the least hash of the key: the same rows for any partitioning."""
     return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.col(key)).limit(rows)

@@ -18,7 +18,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash
+from .common import lines_by_hash, sample_by_hash
 
 # Notices of public licences by family.
 TEMPLATES = {
@@ -146,11 +146,13 @@ class Model:
         return {k: v / total for k, v in e.items()}
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_DOCS) -> Model:
-    """Paragraphs of at most `rows` documents, those with the least hash of their ids, stand for what is no licence."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_DOCS, lines: int = 12, chars: int = 600) -> Model:
+    """Paragraphs of at most `rows` documents, those with the least hash of their ids, stand for what is no licence: so many
+    lines of each and characters of a line, drawn by hash from the whole text."""
     ids = sample_by_hash(docs.select(F.col(id_col).alias("__id")).where("__id is not null"), "__id", rows).distinct()
-    text = docs.join(F.broadcast(ids), docs[id_col] == F.col("__id")).select("__id", F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), 1, 12).alias("p"))
-    return Model([p[:600] for r in sorted(text.toLocalIterator(), key=lambda r: (r[0], r[1])) for p in r.p if p.strip()])
+    drawn = lines_by_hash(F.col("__id"), F.coalesce(F.col(text_col), F.lit("")), lines, chars)
+    text = docs.join(F.broadcast(ids), docs[id_col] == F.col("__id")).select("__id", F.transform(drawn, lambda s: s.x).alias("p"))
+    return Model([p for r in sorted(text.toLocalIterator(), key=lambda r: (r[0], r[1])) for p in r.p if p.strip()])
 
 
 def find_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", confirm: float = CONFIRM) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, map_arrow, sample_by_hash, strings
+from .common import Batches, lines_by_hash, map_arrow, sample_by_hash, strings
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -400,16 +400,11 @@ class Scanner:
 
 
 def drawn_lines(docs: DataFrame) -> list[tuple[str, int]]:
-    """(text, file feature) of the TRAIN_LINES lines of each document (doc_id, text) with the least hash of place and text.
-
-    A line of more than TRAIN_CHARS characters is read from a place in it that its hash gives.
-    """
+    """(text, file feature) of lines drawn by hash from each document (doc_id, text)."""
     text = F.col("text")
     share = (F.length(text) - F.length(F.translate(text, "={};", ""))) * 200 / F.greatest(F.length(text), F.lit(1))
-    keyed = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.xxhash64("doc_id", i, x).alias("h"), x.alias("x"))), lambda s: F.trim(s.x) != "")
-    start = lambda s: F.pmod(s.h, F.greatest(F.length(s.x) - TRAIN_CHARS, F.lit(0)).cast("long") + 1).cast("int") + 1
-    some = F.transform(F.slice(F.array_sort(keyed), 1, TRAIN_LINES), lambda s: F.struct(s.h, F.substr(s.x, start(s), F.lit(TRAIN_CHARS)).alias("x")))
-    rows = docs.where("text is not null").select("doc_id", F.least(F.floor(share), F.lit(3)).cast("int").alias("file"), F.explode(some).alias("s")).select("doc_id", "s.h", "s.x", "file")
+    lines = F.explode(lines_by_hash(F.col("doc_id"), text, TRAIN_LINES, TRAIN_CHARS))
+    rows = docs.where("text is not null").select("doc_id", F.least(F.floor(share), F.lit(3)).cast("int").alias("file"), lines.alias("s")).select("doc_id", "s.h", "s.x", "file")
     return [(r.x, r.file) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.h, r.x))]
 
 
