@@ -146,7 +146,7 @@ def bucket_sample(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS)
             found = [np.unique(features(hashes.of(words(x)))).astype(np.int32) for x in strings(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "label", "buckets"])
 
-    found = map_arrow(text, run, "doc_id long, label int, buckets binary").dropDuplicates(["doc_id"])  # of rows that repeat an id, one
+    found = map_arrow(text, run, "doc_id long, label int, buckets binary").groupBy("doc_id", "label").agg(F.min("buckets").alias("buckets"))  # of rows that repeat an id, one
     got = [(r.doc_id, np.frombuffer(bytes(r.buckets), np.int32).astype(np.int64), r.label) for r in found.toLocalIterator()]
     return [x[1:] for x in sorted(got, key=lambda x: x[0])]
 
