@@ -20,11 +20,13 @@ def filled(row: Column) -> Column:
 
 
 def normal_matrix(rows: Column) -> Column:
-    """Cells with single blanks, rows padded to the longest one, empty rows dropped."""
+    """Cells with single blanks, rows padded to the longest one, empty rows and columns dropped."""
     width = F.aggregate(rows, F.lit(0), lambda n, r: F.greatest(n, F.size(r)))
     cell = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     padded = F.transform(rows, lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width - F.size(r))))
-    return F.filter(padded, lambda r: filled(r) > 0)
+    kept = F.filter(padded, lambda r: filled(r) > 0)
+    used = lambda i: F.exists(kept, lambda r: F.get(r, i) != "")
+    return F.transform(kept, lambda r: F.filter(r, lambda c, i: used(i)))
 
 
 def reliable_table(rows: Column) -> Column:

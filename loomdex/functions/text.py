@@ -51,6 +51,16 @@ def normal_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
+def normal_lines(text: Column) -> Column:
+    """Line by line: blanks single, bullets alike, a line that repeats the one before dropped (a blank one between lets it
+    stay), no more than one blank line in a row, none at the ends."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "[\u00ad\u200b]", "")
+    t = F.regexp_replace(t, r"(?U)(?<=\w)-\n\s*(?=[a-z])", "")
+    own = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")), r"^[▪◦‣]\s*", "• "))
+    kept = F.filter(own, lambda x, i: (i == 0) | (x == "") | (x != F.get(own, i - 1)))
+    return F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), "^\n+|\n+$", ""), "\n{3,}", "\n\n")
+
+
 def question_form(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
 

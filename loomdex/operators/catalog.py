@@ -34,6 +34,14 @@ def search(rows: DataFrame, needle: str, *columns: str) -> DataFrame:
     return rows.where(hit)
 
 
+def registry_rows(rows: DataFrame, **allowed: list[str]) -> DataFrame:
+    """Rows whose columns hold, in any case and without outer blanks, one of the values given for each; no values: all rows."""
+    for c, values in allowed.items():
+        if values:
+            rows = rows.where(F.lower(F.trim(c)).isin(*(v.strip().lower() for v in values)))
+    return rows
+
+
 def majority(rows: DataFrame, key: str, value: str) -> DataFrame:
     """key, value: the most frequent value of each key, null where two are."""
     n = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,21 +15,34 @@ def exact_match(prediction: Column, reference: Column) -> Column:
     return (T.normal_words(prediction) == T.normal_words(reference)).cast("double")
 
 
+SCORES = "id long, precision double, recall double, f1 double"
+
+
+def _scored(pairs: DataFrame, id_col: str, shared) -> DataFrame:
+    """Scores of two lists of a row by shared(p, r) -> (in both, of the prediction, of the reference). Narrow: a row holds both texts."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, p, r in pdf.itertuples(index=False):
+                s, n_p, n_r = shared(list(p), list(r))
+                precision, recall = s / n_p if n_p else 0.0, s / n_r if n_r else 0.0
+                rows.append((i, precision, recall, 2 * precision * recall / (precision + recall) if precision + recall else 0.0))
+            yield pd.DataFrame(rows, columns=["id", "precision", "recall", "f1"])
+
+    words = lambda c: T.word_list(F.coalesce(F.col(c), F.lit("")))
+    return pairs.select(F.col(id_col).alias("id"), words("prediction"), words("reference")).mapInPandas(run, SCORES)
+
+
 def ngram_scores(pairs: DataFrame, n: int = 1, id_col: str = "id") -> DataFrame:
     """id, precision, recall, f1 of multisets of word n-grams. pairs: id, prediction, reference. Nothing shared: zeros."""
 
-    def grams(c: str) -> DataFrame:
-        w = T.word_list(F.coalesce(F.col(c), F.lit("")))
-        g = F.filter(T.shingles(w, n), lambda x: F.size(F.split(x, " ")) == n)
-        return pairs.select(id_col, F.explode(g).alias("g")).groupBy(id_col, "g").agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    def shared(p, r):
+        x, y = (Counter(zip(*(w[k:] for k in range(n)), strict=False)) for w in (p, r))
+        return (x & y).total(), x.total(), y.total()
 
-    both = grams("prediction").join(grams("reference"), [id_col, "g"], "full_outer")
-    sums = both.groupBy(id_col).agg(F.sum(F.least(F.coalesce("n_prediction", F.lit(0)), F.coalesce("n_reference", F.lit(0)))).alias("s"), F.sum("n_prediction").alias("p"), F.sum("n_reference").alias("r"))
-    ratio = lambda d: F.coalesce(F.try_divide(F.col("s").cast("double"), d.cast("double")), F.lit(0.0))
-    precision, recall = ratio(F.col("p")), ratio(F.col("r"))
-    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    out = pairs.select(id_col).join(sums, id_col, "left")
-    return out.select(id_col, F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+    out = _scored(pairs, id_col, shared)
+    return out.select(F.col("id").alias(id_col), *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def containment(answer: Column, evidence: Column, n: int) -> Column:
@@ -38,26 +53,54 @@ def containment(answer: Column, evidence: Column, n: int) -> Column:
     return F.when(F.size(a) > 0, F.coalesce(F.try_divide(F.size(F.array_intersect(run(a), run(e))).cast("double"), F.size(run(a)).cast("double")), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def longest_common(pairs: DataFrame, id_col: str = "id") -> DataFrame:
-    """id, precision, recall, f1 of the longest common subsequence of words (ROUGE-L)."""
+def groundedness(answer: Column, evidence: Column, n: int = 4) -> Column:
+    """Share of the answer's distinct word n-grams that any text of an array holds; n shrinks to the answer's length. Nothing: 0."""
+    a = T.word_list(answer)
+    width = F.greatest(F.least(F.lit(n), F.size(a)), F.lit(1))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
+    own, held = F.array_distinct(runs(a)), F.flatten(F.transform(evidence, lambda t: runs(T.word_list(t))))
+    share = F.try_divide(F.size(F.array_intersect(own, held)).cast("double"), F.size(own).cast("double"))
+    return F.when(F.size(a) > 0, F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for i, p, r in pdf.itertuples(index=False):
-                p, r = list(p), list(r)
-                last = [0] * (len(r) + 1)
-                for x in p:
-                    row = [0]
-                    for j, y in enumerate(r):
-                        row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
-                    last = row
-                precision, recall = last[-1] / len(p) if p else 0.0, last[-1] / len(r) if r else 0.0
-                rows.append((i, precision, recall, 2 * precision * recall / (precision + recall) if precision + recall else 0.0))
-            yield pd.DataFrame(rows, columns=["id", "precision", "recall", "f1"])
 
-    words = lambda c: T.word_list(F.coalesce(F.col(c), F.lit("")))
-    return pairs.select(F.col(id_col).alias("id"), words("prediction"), words("reference")).mapInPandas(run, "id long, precision double, recall double, f1 double")
+def domain_adherence(refused: Column, expected: Column) -> Column:
+    """1 where an answer is refused just when it should be."""
+    return (F.coalesce(refused, F.lit(False)) == F.coalesce(expected, F.lit(False))).cast("double")
+
+
+def generation_summary(records: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: means of the in-domain answers, rounded to 4 digits, how many of them cite what they were not given, and how
+    often the others are refused as they should. records: in_domain, domain_adherence, n_fabricated and the metrics."""
+    own, other = F.col("in_domain"), ~F.col("in_domain")
+    mean = lambda c, where: F.round(F.coalesce(F.avg(F.when(where, F.col(c))), F.lit(0.0)), 4)
+    return records.agg(
+        F.count_if(own).alias("in_domain_count"), F.count_if(other).alias("out_of_domain_count"), F.count_if(own & (F.col("n_fabricated") > 0)).alias("fabricated_question_count"),
+        F.round(F.coalesce(F.avg(F.when(other, (F.col("domain_adherence") == 1).cast("double"))), F.lit(0.0)), 4).alias("refusal_accuracy"), *(mean(m, own).alias(m) for m in metrics),
+    )
+
+
+def deltas(base: DataFrame, other: DataFrame) -> DataFrame:
+    """metric, base, other, delta (4 digits) of two tables of metric and value; null where one of them lacks the metric."""
+    sides = base.select("metric", F.col("value").alias("base")).join(other.select("metric", F.col("value").alias("other")), "metric", "full_outer")
+    return sides.select("metric", "base", "other", F.round(F.col("other") - F.col("base"), 4).alias("delta"))
+
+
+def longest_common(pairs: DataFrame, id_col: str = "id") -> DataFrame:
+    """id, precision, recall, f1 of the longest common subsequence of words (ROUGE-L), one word of the prediction at a time
+    against all of the reference, whose places are bits of one number."""
+
+    def shared(p, r):
+        at: dict[str, int] = {}
+        for j, y in enumerate(r):
+            at[y] = at.get(y, 0) | 1 << j
+        full = (1 << len(r)) - 1
+        open_ = full
+        for x in p:
+            hit = open_ & at.get(x, 0)
+            open_ = (open_ + hit | open_ - hit) & full
+        return len(r) - open_.bit_count(), len(p), len(r)
+
+    return _scored(pairs, id_col, shared)
 
 
 def fabricated_urls(answer: Column, evidence_urls: Column) -> Column:

@@ -43,9 +43,10 @@ def collapse_guard(n: Column, previous: Column, ratio: float) -> Column:
     return n >= F.greatest(F.lit(1), F.ceil(previous * ratio))
 
 
-def immutable_append(stored: DataFrame, incoming: DataFrame, digest: str) -> DataFrame:
-    """incoming rows whose content is not stored yet, one of each digest."""
-    return incoming.dropDuplicates([digest]).join(stored.select(digest), digest, "left_anti")
+def immutable_append(stored: DataFrame, incoming: DataFrame, digest: str, by: str) -> DataFrame:
+    """incoming rows whose content is not stored yet, of each digest the first one by a column."""
+    fresh = incoming.join(stored.select(digest), digest, "left_anti")
+    return fresh.groupBy(digest).agg(F.min_by(F.struct(*incoming.columns), by).alias("__r")).select("__r.*")
 
 
 def set_mismatch(left: DataFrame, right: DataFrame) -> DataFrame:

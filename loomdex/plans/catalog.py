@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.plans import document_queries, question_queries, record_queries, registry, table_queries, vector_queries  # noqa: F401  they register themselves
+from loomdex.plans import answer_queries, document_queries, question_queries, record_queries, registry, table_queries, vector_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, registry.Query]:

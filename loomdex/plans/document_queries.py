@@ -108,12 +108,13 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("line_dedup", "SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, pos, line, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE line IS DISTINCT FROM b GROUP BY doc_id")
 def line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return documents.collapse_repeats(documents.lines_of(table(spark, d, "documents"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return table(spark, d, "documents").select("doc_id", F.size(documents.without_repeats(F.col("text"))).cast("long").alias("n_lines"))
 
 
 @query("context_lines", "SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (SELECT doc_id, pos, line, max(CASE WHEN contains(line, 'Licen') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS near FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE near = 1 OR pos = 1 GROUP BY doc_id")
 def context_lines(spark: SparkSession, d: str) -> DataFrame:
-    return documents.around_matches(documents.lines_of(table(spark, d, "documents")), F.contains("line", F.lit("Licen"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    near = table(spark, d, "documents").select("doc_id", documents.near_lines(F.col("text"), "Licen").alias("l"))
+    return near.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.aggregate("l", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("n_chars"))
 
 
 @query("line_islands", "WITH l AS (SELECT doc_id, pos - 1 AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) > 120), g AS (SELECT doc_id, pos, coalesce((pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 4)::INT, 0) AS new FROM l), i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM g) SELECT doc_id, island::BIGINT AS island, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos, count(*) AS n FROM i GROUP BY doc_id, island")
@@ -185,11 +186,13 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("id", a.alias("a"), b.alias("b")).select("id", F.round(V.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(V.overlap(F.col("a"), F.col("b")), 6).alias("overlap"), F.round(V.coverage(F.col("a"), F.col("b")), 6).alias("coverage"))
 
 
-@query("benchmark_contamination", f"WITH b AS (SELECT sha256(array_to_string({words_sql('text')}, ' ')) AS h FROM benchmark) SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE sha256(array_to_string({words_sql('line')}, ' ')) IN (SELECT h FROM b)")
+@query("benchmark_contamination", f"WITH b AS (SELECT sha256(array_to_string({words_sql('text')}, ' ')) AS h FROM benchmark) SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT -length(text) AS doc_id, '  ' || text || ' !' AS line FROM benchmark) WHERE sha256(array_to_string({words_sql('line')}, ' ')) IN (SELECT h FROM b)")
 def benchmark_contamination(spark: SparkSession, d: str) -> DataFrame:
     key = lambda c: F.sha2(T.normal_words(F.col(c)), 256)
     held = table(spark, d, "benchmark").select(key("text").alias("h")).distinct()
-    return documents.lines_of(table(spark, d, "documents")).withColumn("h", key("line")).join(held, "h", "left_semi").select("doc_id", "line")
+    seeded = table(spark, d, "benchmark").select((-F.length("text")).cast("long").alias("doc_id"), F.lit(0).alias("pos"), F.concat(F.lit("  "), "text", F.lit(" !")).alias("line"))
+    lines = documents.lines_of(table(spark, d, "documents")).unionByName(seeded)  # the items themselves, set otherwise, are hits
+    return lines.withColumn("h", key("line")).join(held, "h", "left_semi").select("doc_id", "line")
 
 
 @query("chunk_documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ def read_registry(spark: SparkSession, path: str, required: list[str]) -> DataFr
     head = spark.read.text(path).limit(1).head()
     if head is None:
         raise SourceError("the registry is empty")
-    names = [c.strip().strip('"') for c in head[0].lstrip("﻿").split(",")]
+    names = [c.strip() for c in next(csv.reader([head[0].lstrip("\ufeff")]))]
     if any(not c for c in names) or len(set(names)) < len(names):
         raise SourceError("blank or repeated column names")
     if missing := [c for c in required if c not in names]:
@@ -63,9 +65,10 @@ def write_new(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, root: str, at_least: int = 1) -> str:
-    """Writes a snapshot to a folder of its own and then points root/current at it; a snapshot of fewer rows is refused.
+    """Writes a snapshot to a folder of its own and then adds a pointer to it; a snapshot of fewer rows is refused.
 
-    Readers see the one or the other snapshot as a whole.
+    Pointers are only added, each as one file that appears when its write is committed, so readers always find the one or
+    the other snapshot as a whole. Old snapshots stay until their owner removes them.
     """
     spark = df.sparkSession
     staged = f"{root}/snapshot-{uuid.uuid4().hex}"
@@ -73,9 +76,11 @@ def publish(df: DataFrame, root: str, at_least: int = 1) -> str:
     n = spark.read.parquet(staged).count()
     if n < at_least:
         raise SourceError(f"{n} rows are fewer than {at_least}")
-    spark.createDataFrame([(staged, n)], "path string, n long").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    spark.createDataFrame([(time.time_ns(), staged, n)], "version long, path string, n long").coalesce(1).write.mode("append").json(f"{root}/pointers")
     return staged
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(f"{root}/current").head().path)
+    """The snapshot of the latest pointer."""
+    pointers = spark.read.schema("version long, path string, n long").json(f"{root}/pointers")
+    return spark.read.parquet(pointers.orderBy(F.desc("version")).head().path)

@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,37 @@ def test_streams(spark, tmp_path):
     events.refresh(stream, root, "user_id", str(tmp_path / "c3")).awaitTermination(60)
     assert {r.user_id: r.event_id for r in files.read_published(spark, root).collect()} == {0: 39, 1: 37, 2: 38}
     assert os.path.isdir(root)
+
+
+def test_longest_common_is_that_of_the_table(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("abcdef", k=rng.randrange(0, 90))), " ".join(rng.choices("abcdef", k=rng.randrange(0, 90)))) for i in range(60)] + [(60, None, "a"), (61, "a b", "")]
+
+    def table(p, r):
+        last = [0] * (len(r) + 1)
+        for x in p:
+            row = [0]
+            for j, y in enumerate(r):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+            last = row
+        return last[-1]
+
+    found = {r.id: r for r in evaluation.longest_common(spark.createDataFrame(rows, "id long, prediction string, reference string")).collect()}
+    for i, p, r in rows:
+        p, r = (p or "").split(), (r or "").split()
+        n = table(p, r)
+        assert found[i].precision == (n / len(p) if p else 0) and found[i].recall == (n / len(r) if r else 0)
+
+
+def test_registry_with_a_quoted_header(spark, tmp_path):
+    path = tmp_path / "registry.csv"
+    path.write_text('﻿id,"name, full",category\n1,"A, B",x\n', encoding="utf-8")
+    row = files.read_registry(spark, str(path), ["id"]).head()
+    assert row.id == "1" and row.extras == {"name, full": "A, B", "category": "x"}
+
+
+def test_summary_of_no_answers(spark):
+    none = spark.createDataFrame([], "in_domain boolean, domain_adherence double, n_fabricated int, f1 double")
+    assert evaluation.generation_summary(none, ["f1"]).head().asDict() == {"in_domain_count": 0, "out_of_domain_count": 0, "fabricated_question_count": 0, "refusal_accuracy": 0.0, "f1": 0.0}
+    answers = spark.createDataFrame([("", ["a b"]), ("one two three", []), ("one two", ["x", "zero one two three"]), (None, ["a"])], "a string, e array<string>")
+    assert [r[0] for r in answers.select(evaluation.groundedness(F.col("a"), F.col("e"))).collect()] == [0.0, 0.0, 1.0, 0.0]
