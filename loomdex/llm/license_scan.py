@@ -49,8 +49,9 @@ def words_of(text: str) -> list[str]:
 
 
 def words_column(text: Column) -> Column:
+    """One pattern gives what splitting and trimming gives: from the first to the last letter or digit of a run."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.transform(F.split(lower, SPLIT), lambda w: F.btrim(w, F.lit(".+-"))), lambda w: w != "")
+    return F.regexp_extract_all(lower, F.lit("[a-z0-9](?:[a-z0-9.+-]*[a-z0-9])?"), 0)
 
 
 def grams(words: list[str]) -> list[str]:
@@ -80,15 +81,20 @@ def training_set(negatives: list[str], seed: int = 11) -> list[tuple[list[str],
 
 
 #: A line end within a hard-wrapped paragraph: behind a line of 40 to 119 characters that ends no sentence, and before one
-#: that holds more than comment marks. Marks themselves are no words.
-WRAP = r"""(?<=[^\n]{39}[^\s.:;!?])(?<![.:;!?]["')\]])(?<![^\n]{120})[ \t\r]*\n(?=[^\n]*[^\s#*/;%!<>-])"""
+#: that holds more than comment marks. Marks themselves are no words. The line end is asked for first, so that the long
+#: look behind is taken at line ends only.
+WRAP = r"""(?=[ \t\r]*\n)(?<=[^\n]{39}[^\s.:;!?])(?<![.:;!?]["')\]])(?<![^\n]{120})[ \t\r]*\n(?=[^\n]*[^\s#*/;%!<>-])"""
 
 
-def paragraphs(text: Column) -> Column:
+def marked(text: Column) -> Column:
+    """The text with a mark at the head of each line that goes on with the paragraph of the one before."""
+    return F.regexp_replace(F.translate(text, "\1", " "), WRAP, "\n\1")
+
+
+def paragraphs(marked_text: Column) -> Column:
     """Structs of paragraph (the number of its first line, from 0) and line (its lines, joined by spaces)."""
-    marked = F.regexp_replace(F.translate(text, "\1", " "), WRAP, "\n\1")
-    first = F.filter(F.transform(F.split(marked, "\n"), lambda x, i: F.when(~F.startswith(x, F.lit("\1")), i)), lambda i: i.isNotNull())
-    return F.arrays_zip(first.alias("paragraph"), F.split(F.regexp_replace(marked, "\n\1", " "), "\n").alias("line"))
+    first = F.filter(F.transform(F.split(marked_text, "\n"), lambda x, i: F.when(~F.startswith(x, F.lit("\1")), i)), lambda i: i.isNotNull())
+    return F.arrays_zip(first.alias("paragraph"), F.split(F.replace(marked_text, F.lit("\n\1"), F.lit(" ")), "\n").alias("line"))
 
 
 def constant(value: object, kind: str) -> Column:
@@ -163,7 +169,8 @@ def find_licenses(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     family's templates (0 for unknown); confirmed says that it is at least `confirm`. Null and empty texts have no
     notices; repeated rows give theirs each; null ids stay null; extra columns are not read.
     """
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline(paragraphs(F.coalesce(F.col(text_col), F.lit("")))).alias("paragraph", "line"))
+    whole = once(docs.select(F.col(id_col).cast("long").alias("doc_id"), marked(F.coalesce(F.col(text_col), F.lit(""))).alias("text")))
+    lines = whole.select("doc_id", F.inline(paragraphs(F.col("text"))).alias("paragraph", "line"))
     single = sorted({w for g in model.features for w in g.split(" ")})
     rare = [w for w in single if w in set(model.features)]
     if not all(any(w in rare for w in g.split(" ")) for g in model.features):

@@ -213,6 +213,12 @@ def test_viterbi_is_the_best_path():
         assert tuple(tags[i, :n]) == max(itertools.product(range(3), repeat=int(n)), key=score)
 
 
+def test_words_of_licenses_are_those_of_their_twin(docs, texts):
+    hard = ["", "...", "a..", "..a.+b-", "+-a", "GPL-3.0-only. É x86_64 'MIT'", "-" * 5_000 + "a" + "." * 5_000 + "b", "\u0130K\u212a"]
+    rows = docs.sparkSession.createDataFrame([(x,) for x in [*texts.values(), *hard]], "t string")
+    assert all(r.w == license_scan.words_of(r.t) for r in rows.select("t", license_scan.words_column(rows.t).alias("w")).collect())
+
+
 def test_licenses_of_wrapped_notices(spark, docs):
     """Each template of more than a line, wrapped at 72 columns behind comment marks, is one confirmed notice of its family."""
     model = license_scan.train(docs)
