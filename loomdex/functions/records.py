@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomdex.functions.binding import bound
+
 
 def allowed_headers(headers: Column, names: tuple[str, ...]) -> Column:
     """The entries of a map whose lower-cased name is in the list."""
@@ -20,13 +22,14 @@ def filled(row: Column) -> Column:
 
 
 def normal_matrix(rows: Column) -> Column:
-    """Cells with single blanks, rows padded to the longest one, empty rows and columns dropped."""
-    width = F.aggregate(rows, F.lit(0), lambda n, r: F.greatest(n, F.size(r)))
+    """Cells with single blanks, rows padded to the longest one, empty rows and columns dropped. Linear in the cells: a
+    column that any row fills is among the distinct places of filled cells."""
     cell = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    padded = F.transform(rows, lambda r: F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width - F.size(r))))
-    kept = F.filter(padded, lambda r: filled(r) > 0)
-    used = lambda i: F.exists(kept, lambda r: F.get(r, i) != "")
-    return F.transform(kept, lambda r: F.filter(r, lambda c, i: used(i)))
+    places = lambda r: F.filter(F.transform(r, lambda c, i: F.when(c != "", i)), lambda i: i.isNotNull())
+    used = lambda kept: F.array_sort(F.array_distinct(F.flatten(F.transform(kept, places))))
+    taken = lambda kept, columns: F.transform(kept, lambda r: F.transform(columns, lambda i: F.coalesce(F.get(r, i), F.lit(""))))
+    kept = F.filter(F.transform(rows, lambda r: F.transform(r, cell)), lambda r: filled(r) > 0)
+    return bound(kept, lambda k: bound(used(k), lambda columns: taken(k, columns)))
 
 
 def reliable_table(rows: Column) -> Column:

@@ -3,10 +3,12 @@ import hashlib
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomdex.functions import records as R
 from loomdex.functions import text as T
 from loomdex.operators import chunking, documents, evaluation, incremental, retrieval, rules
 from loomdex.sources import files
@@ -204,3 +206,15 @@ def test_summary_of_no_answers(spark):
     assert evaluation.generation_summary(none, ["f1"]).head().asDict() == {"in_domain_count": 0, "out_of_domain_count": 0, "fabricated_question_count": 0, "refusal_accuracy": 0.0, "f1": 0.0}
     answers = spark.createDataFrame([("", ["a b"]), ("one two three", []), ("one two", ["x", "zero one two three"]), (None, ["a"])], "a string, e array<string>")
     assert [r[0] for r in answers.select(evaluation.groundedness(F.col("a"), F.col("e"))).collect()] == [0.0, 0.0, 1.0, 0.0]
+
+
+def test_matrix_of_many_rows(spark):
+    """Width and used columns are found once a table, not for each cell of it."""
+    small = [["", " a  b ", None], ["", ""], [" "], ["", "c", "", " d"]]
+    column = "array<array<string>>"
+    found = spark.createDataFrame([(small,), ([],), (None,)], f"c {column}").select(R.normal_matrix(F.col("c"))).collect()
+    assert [r[0] for r in found] == [[["a b", ""], ["c", "d"]], [], None]
+    tall = spark.createDataFrame([([["", f"x{i}", " ", f"y {i}"] for i in range(3000)],)], f"c {column}")
+    began = time.time()
+    assert tall.select(R.normal_matrix(F.col("c")).alias("m")).head().m[-1] == ["x2999", "y 2999"]
+    assert time.time() - began < 20
