@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as T
+from loomdex.functions.binding import bound
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:
@@ -47,20 +48,20 @@ def ngram_scores(pairs: DataFrame, n: int = 1, id_col: str = "id") -> DataFrame:
 
 def containment(answer: Column, evidence: Column, n: int) -> Column:
     """Share of the answer's distinct word n-grams that the evidence holds; n shrinks to the answer's length."""
-    a, e = T.word_list(answer), T.word_list(evidence)
-    width = F.greatest(F.least(F.lit(n), F.size(a)), F.lit(1))
-    run = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " ")))
-    return F.when(F.size(a) > 0, F.coalesce(F.try_divide(F.size(F.array_intersect(run(a), run(e))).cast("double"), F.size(run(a)).cast("double")), F.lit(0.0))).otherwise(F.lit(0.0))
+    return groundedness(answer, F.array(evidence), n)
 
 
 def groundedness(answer: Column, evidence: Column, n: int = 4) -> Column:
     """Share of the answer's distinct word n-grams that any text of an array holds; n shrinks to the answer's length. Nothing: 0."""
-    a = T.word_list(answer)
-    width = F.greatest(F.least(F.lit(n), F.size(a)), F.lit(1))
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
-    own, held = F.array_distinct(runs(a)), F.flatten(F.transform(evidence, lambda t: runs(T.word_list(t))))
-    share = F.try_divide(F.size(F.array_intersect(own, held)).cast("double"), F.size(own).cast("double"))
-    return F.when(F.size(a) > 0, F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))
+    runs = lambda w, width: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
+
+    def share(a: Column) -> Column:
+        width = F.greatest(F.least(F.lit(n), F.size(a)), F.lit(1))
+        held = F.flatten(F.transform(evidence, lambda t: bound(T.word_list(t), lambda w: runs(w, width))))
+        part = lambda own: F.try_divide(F.size(F.array_intersect(own, held)).cast("double"), F.size(own).cast("double"))
+        return F.when(F.size(a) > 0, F.coalesce(bound(F.array_distinct(runs(a, width)), part), F.lit(0.0))).otherwise(F.lit(0.0))
+
+    return bound(T.word_list(answer), share)
 
 
 def domain_adherence(refused: Column, expected: Column) -> Column:

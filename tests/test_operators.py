@@ -218,3 +218,22 @@ def test_matrix_of_many_rows(spark):
     began = time.time()
     assert tall.select(R.normal_matrix(F.col("c")).alias("m")).head().m[-1] == ["x2999", "y 2999"]
     assert time.time() - began < 20
+
+
+def test_lines_of_a_long_text(spark):
+    """Lines are made once a text, not for each line of it."""
+    lines = [f"line  {i}" for i in range(4000) for _ in range(2)]
+    df = spark.createDataFrame([("\n".join(lines),)], "t string")
+    began = time.time()
+    row = df.select(T.normal_lines(F.col("t")).alias("n"), documents.without_repeats(F.col("t")).alias("w"), documents.near_lines(F.col("t"), "  3999").alias("l")).head()
+    assert row.n.split("\n") == [f"line {i}" for i in range(4000)] and row.w == lines[::2] and row.l == lines[:1] + lines[-6:]
+    assert time.time() - began < 20
+
+
+def test_groundedness_of_a_long_answer(spark):
+    words = [f"w{i}" for i in range(6000)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[:3000]))], "a string, e string")
+    began = time.time()
+    row = df.select(evaluation.groundedness(F.col("a"), F.array("e")).alias("g"), evaluation.containment(F.col("a"), F.col("e"), 3).alias("c"), F.size(T.shingles(T.token_list(F.col("a")), 5)).alias("s")).head()
+    assert (row.g, row.c, row.s) == (2997 / 5997, 2998 / 5998, 5996)
+    assert time.time() - began < 20
