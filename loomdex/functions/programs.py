@@ -11,11 +11,15 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomdex.functions.binding import bound
+
 # Initialisms whose letters stand apart, and words that tell a degree's level.
 JOINED = ((r"\bm\s+pharm\b", "mpharm"), (r"\bb\s+pharm\b", "bpharm"), (r"\bm\s+sc\b", "msc"), (r"\bb\s+sc\b", "bsc"), (r"\bm\s+a\b", "ma"), (r"\bb\s+a\b", "ba"), (r"\bll\s+m\b", "llm"), (r"\bll\s+b\b", "llb"), (r"\bb\s+arch\b", "barch"))
 POSTGRADUATE = ("master", "msc", "ma", "mba", "llm", "mds", "mph", "mss", "mpharm", "postgraduate")
 UNDERGRADUATE = ("bachelor", "bsc", "ba", "bba", "bss", "llb", "barch", "bph", "bpharm", "undergraduate")
 FILLER = r"\b(?:what|which|tell|show|give|me|about|does|do|have|offer|offered|program|programme|course|degree|tuition|fees?|cost|total|payable|admission|local|student|information|details?|please)\b"
+# Where this does not stand, none of JOINED can.
+APART = r"\b(?:m|b|ll)\s"
 IN_CAPITALS = ("ce", "te")
 
 
@@ -28,10 +32,22 @@ class Program(NamedTuple):
 
 def program_form(text: Column) -> Column:
     """Folded, "&" spelled out, punctuation as blanks, degree initialisms joined: the form in which names compare."""
+    return bound(_folded(text), lambda own: F.when(own.rlike(APART), _joined(own)).otherwise(own))
+
+
+def name_form(name: str) -> Column:
+    """program_form() of a constant, which the optimiser evaluates; it leaves lambdas as they are."""
+    return _joined(_folded(F.lit(name)))
+
+
+def _folded(text: Column) -> Column:
     t = F.translate(F.lower(text), "’‘", "''")
     t = F.replace(F.regexp_replace(t, r"master(?:'s|s)?", "master"), F.lit("&"), F.lit(" and "))
-    t = F.trim(F.regexp_replace(t, r"(?U)[^\wঀ-৿]+", " "))
-    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), JOINED, t)
+    return F.trim(F.regexp_replace(t, r"(?U)[^\wঀ-৿]+", " "))
+
+
+def _joined(form: Column) -> Column:
+    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), JOINED, form)
 
 
 def holds(text: Column, phrase: Column) -> Column:
@@ -41,9 +57,12 @@ def holds(text: Column, phrase: Column) -> Column:
 
 def degree_level(text: Column) -> Column:
     """postgraduate, undergraduate or null."""
-    form = program_form(text)
-    words = F.split(form, " ")
-    has = lambda some: F.arrays_overlap(words, F.array(*map(F.lit, some)))
+    return bound(program_form(text), form_level)
+
+
+def form_level(form: Column) -> Column:
+    """degree_level() of what is in program_form() already."""
+    has = lambda some: F.arrays_overlap(F.split(form, " "), F.array(*map(F.lit, some)))
     return F.when(has(POSTGRADUATE) | F.contains(form, F.lit("post graduate")) | F.startswith(form, F.lit("pgd ")), "postgraduate").when(has(UNDERGRADUATE), "undergraduate")
 
 
@@ -54,22 +73,26 @@ def weight(phrase: Column) -> Column:
 
 def named_programs(text: Column, programs: tuple[Program, ...]) -> Column:
     """Markers of the programs whose names in the text are the most specific, in the table's order."""
-    form, found = program_form(text), []
-    for p in programs:
-        for name in dict.fromkeys((*p.aliases, p.canonical)):
-            phrase = program_form(F.lit(name))
-            there = holds(form, phrase)
-            if name.lower() in IN_CAPITALS:
-                there = there & text.rlike(rf"(?<![A-Za-z0-9]){name.upper()}(?![A-Za-z0-9])")
-            found.append(F.when(there, F.struct(weight(phrase).alias("w"), F.lit(p.marker).alias("marker"))))
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    best = F.array_max(F.transform(hits, lambda x: x["w"]))
-    return F.array_distinct(F.transform(F.filter(hits, lambda x: x["w"] == best), lambda x: x["marker"]))
+
+    def hits(form: Column) -> Column:
+        found = []
+        for p in programs:
+            for name in dict.fromkeys((*p.aliases, p.canonical)):
+                phrase = name_form(name)
+                there = holds(form, phrase)
+                if name.lower() in IN_CAPITALS:
+                    there = there & text.rlike(rf"(?<![A-Za-z0-9]){name.upper()}(?![A-Za-z0-9])")
+                found.append(F.when(there, F.struct(weight(phrase).alias("w"), F.lit(p.marker).alias("marker"))))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    of_weight = lambda found, best: F.array_distinct(F.transform(F.filter(found, lambda x: x["w"] == best), lambda x: x["marker"]))
+    heaviest = lambda found: F.array_max(F.transform(found, lambda x: x["w"]))
+    return bound(bound(program_form(text), hits), lambda found: bound(heaviest(found), lambda best: of_weight(found, best)))
 
 
 def single(markers: Column) -> Column:
     """The only marker; null if there is none or a tie."""
-    return F.when(F.size(markers) == 1, F.element_at(markers, 1))
+    return bound(markers, lambda m: F.when(F.size(m) == 1, F.element_at(m, 1)))
 
 
 def of_marker(marker: Column, values: dict[str, str | None]) -> Column:
@@ -84,22 +107,39 @@ def canonical_name(marker: Column, programs: tuple[Program, ...]) -> Column:
 
 def row_matches(program: Column, marker: Column, programs: tuple[Program, ...], narrow: tuple[str, ...] = ("bba", "mba")) -> Column:
     """Whether a catalog row is of the marked program. Narrow ones take only their bare name, none of the specialisations."""
-    canonical = program_form(canonical_name(marker, programs))
+    forms = [x for p in programs for x in (F.lit(p.marker), name_form(p.canonical))]  # constant, as the names are
+    canonical = F.try_element_at(F.create_map(*forms), marker) if forms else F.lit(None).cast("string")
     bare = program_form(F.regexp_replace(program, r"\([^)]*\)", " "))
-    return F.coalesce(F.when(marker.isin(*narrow), (bare == marker) | (bare == canonical)).otherwise(holds(program_form(program), canonical)), F.lit(False))
+    of_bare = lambda form: (form == marker) | (form == canonical)
+    return F.coalesce(F.when(marker.isin(*narrow), bound(bare, of_bare)).otherwise(holds(program_form(program), canonical)), F.lit(False))
 
 
 def level_matches(text: Column, program: Column, marker: Column, programs: tuple[Program, ...]) -> Column:
     """Whether a row is of the degree level that the question asks for, or that its program has by default."""
-    expected = F.coalesce(degree_level(text), of_marker(marker, {p.marker: p.level for p in programs}))
-    holder = F.contains(program_form(program), F.lit("diploma holder")) & ~F.contains(program_form(text), F.lit("diploma"))
-    return ~holder & (expected.isNull() | expected.eqNullSafe(degree_level(program)))
+    return bound(asked_level(text), lambda asked: matches_asked(asked, program, marker, programs))
+
+
+def asked_level(text: Column) -> Column:
+    """What level_matches() takes of a question, to be had once for all its rows: the level, and whether it names diplomas."""
+    return bound(program_form(text), lambda form: F.struct(form_level(form).alias("level"), F.contains(form, F.lit("diploma")).alias("diploma")))
+
+
+def matches_asked(asked: Column, program: Column, marker: Column, programs: tuple[Program, ...]) -> Column:
+    """level_matches() by asked_level() of the question."""
+    expected = F.coalesce(asked["level"], of_marker(marker, {p.marker: p.level for p in programs}))
+    holder = lambda form: F.contains(form, F.lit("diploma holder")) & ~asked["diploma"]
+    fits = lambda form: bound(expected, lambda e: e.isNull() | e.eqNullSafe(form_level(form)))
+    return bound(program_form(program), lambda form: ~holder(form) & fits(form))
 
 
 def search_phrase(text: Column, own: tuple[str, ...] = ()) -> Column:
     """What is left of a question without filler; null if shorter than three characters."""
-    bare = F.regexp_replace(program_form(text), FILLER, " ")
+    return form_phrase(program_form(text), own)
+
+
+def form_phrase(form: Column, own: tuple[str, ...] = ()) -> Column:
+    """search_phrase() of what is in program_form() already."""
+    bare = F.regexp_replace(form, FILLER, " ")
     if own:
         bare = F.regexp_replace(bare, r"\b(?:" + "|".join(own) + r")\b", " ")
-    left = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    return F.when(F.length(left) >= 3, left)
+    return bound(F.trim(F.regexp_replace(bare, r"\s+", " ")), lambda left: F.when(F.length(left) >= 3, left))

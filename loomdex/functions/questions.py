@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomdex.functions.binding import bound
+
 # The wording by which subjects are told apart. Results depend on each of them.
 UNSUPPORTED = r"\b(?:my|personal)\s+(?:application|admission)\s+status\b|\binsurance\s+documents?\b|\b(?:guarantee|secret|unofficial|leaked)\b.*\b(?:admission|scholarship|waiver)\b"
 DOCUMENT = r"\b(?:documents?|docs?|papers?|paperwork|certificates?|transcripts?)\b|ডকুমেন্ট|কাগজপত্র|কাগজ|সার্টিফিকেট|ট্রান্সক্রিপ্ট|\bkagoj(?:potro)?\b"
@@ -55,7 +57,7 @@ def has(text: Column, pattern: str) -> Column:
 def normal_question(text: Column) -> Column:
     """Straight quotes and single blanks; a blank question is null, as it cannot be asked."""
     t = F.trim(F.regexp_replace(F.translate(text, "’‘", "''"), r"(?U)\s+", " "))
-    return F.nullif(t, F.lit(""))
+    return bound(t, lambda own: F.nullif(own, F.lit("")))
 
 
 def question_language(text: Column) -> Column:
@@ -96,15 +98,16 @@ def intent(text: Column, program: Column, own: tuple[str, ...] = ()) -> Column:
     return chosen(rules)
 
 
-def about_admission(text: Column, program: Column, own: tuple[str, ...] = ()) -> Column:
-    """Whether the question belongs to the knowledge base's domain at all."""
-    return ~has(text, UNSUPPORTED) & (intent(text, program, own).isNotNull() | program.isNotNull() | has(text, ADMISSION) | names(text, own))
+def about_admission(text: Column, program: Column, own: tuple[str, ...] = (), kind: Column | None = None) -> Column:
+    """Whether the question belongs to the knowledge base's domain at all. kind: its intent, where that is known."""
+    kind = intent(text, program, own) if kind is None else kind
+    return ~has(text, UNSUPPORTED) & (kind.isNotNull() | program.isNotNull() | has(text, ADMISSION) | names(text, own))
 
 
-def fact(text: Column, program: Column, own: tuple[str, ...] = ()) -> Column:
-    """The fact that evidence has to state: required grades before all, then the intent, then single words."""
-    kind = intent(text, program, own)
-    mapped = chosen([(kind == k, v) for k, v in FACTS.items()])
+def fact(text: Column, program: Column, own: tuple[str, ...] = (), kind: Column | None = None) -> Column:
+    """The fact that evidence has to state: required grades before all, then the intent, then single words. kind: the intent,
+    where it is known."""
+    mapped = bound(intent(text, program, own) if kind is None else kind, lambda k: chosen([(k == i, v) for i, v in FACTS.items()]))
     later = chosen([(has(text, p), label) for label, p in LATER_FACTS])
     return F.when(has(text, ADMISSION_GPA), "admission_gpa").otherwise(F.coalesce(mapped, later))
 

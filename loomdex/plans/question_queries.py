@@ -81,8 +81,8 @@ def level_sql(form: str) -> str:
 
 @query("program_resolution", f"WITH {QS_SQL} SELECT p_partkey, form, {level_sql('form')} AS level, marker, canonical, CASE WHEN length(s) >= 3 THEN s END AS phrase FROM (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(form, {quoted(P.FILLER)}, ' ', 'g'), '\\b(acme)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM qs)")
 def program_resolution(spark: SparkSession, d: str) -> DataFrame:
-    q = F.col("q")
-    return with_program(spark, d).select("p_partkey", P.program_form(q).alias("form"), P.degree_level(q).alias("level"), "marker", "canonical", P.search_phrase(q, OWN[:1]).alias("phrase"))
+    rows, form = with_program(spark, d).withColumn("form", P.program_form(F.col("q"))), F.col("form")
+    return rows.select("p_partkey", "form", P.form_level(form).alias("level"), "marker", "canonical", P.form_phrase(form, OWN[:1]).alias("phrase"))
 
 
 INTENT_SQL = f"""CASE WHEN {m(Q.UNSUPPORTED)} THEN NULL WHEN {m(Q.DIPLOMA)} AND ({m(Q.APPLY)} OR {m(Q.ELIGIBILITY)}) THEN 'diploma_application'
@@ -98,13 +98,14 @@ LANE_SQL = f"CASE WHEN intent = 'tuition' THEN CASE WHEN {m(Q.DOLLARS)} THEN 'in
 
 def understood(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("q")
-    return with_program(spark, d).withColumns({"intent": Q.intent(q, F.col("canonical"), OWN), "fact": Q.fact(q, F.col("canonical"), OWN)})
+    rows = with_program(spark, d).withColumn("intent", Q.intent(q, F.col("canonical"), OWN))
+    return rows.withColumn("fact", Q.fact(q, F.col("canonical"), OWN, F.col("intent")))
 
 
 @query("intent_classify", f"WITH {INTENTS_SQL} SELECT p_partkey, CASE WHEN regexp_matches(q, '[ঀ-৿]') THEN 'bn' WHEN {m(Q.ROMANISED)} THEN 'banglish' ELSE 'en' END AS language, intent, fact, {LANE_SQL} AS lane, NOT {m(Q.UNSUPPORTED)} AND (intent IS NOT NULL OR canonical IS NOT NULL OR {m(Q.ADMISSION)} OR {m('\\bacme\\b')}) AS asks_admission FROM facts")
 def intent_classify(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("q")
-    return understood(spark, d).select("p_partkey", Q.question_language(q).alias("language"), "intent", "fact", Q.lane_category(q, F.col("intent")).alias("lane"), Q.about_admission(q, F.col("canonical"), OWN).alias("asks_admission"))
+    return understood(spark, d).select("p_partkey", Q.question_language(q).alias("language"), "intent", "fact", Q.lane_category(q, F.col("intent")).alias("lane"), Q.about_admission(q, F.col("canonical"), OWN, F.col("intent")).alias("asks_admission"))
 
 
 @query(
@@ -135,10 +136,10 @@ matched AS (SELECT *, coalesce(CASE WHEN marker IN ('bba', 'mba') THEN bare = ma
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    rows = understood(spark, d).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("n", F.col("p_partkey") * 5 + F.col("chunk"))
-    n, q = F.col("n"), F.col("q")
+    rows = understood(spark, d).withColumn("asked", P.asked_level(F.col("q"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("n", F.col("p_partkey") * 5 + F.col("chunk"))
+    n = F.col("n")
     rows = rows.withColumns({"category": pick(CATEGORIES, n * 7), "program": pick(ROWS, n * 3), "content": F.when(n % 3 == 0, "costs $100").otherwise("costs 100 taka"), "content_type": F.when(n % 4 == 0, "text").otherwise("table")})
-    return rows.withColumns({"of_program": P.row_matches(F.col("program"), F.col("marker"), PROGRAMS), "of_level": P.level_matches(q, F.col("program"), F.col("marker"), PROGRAMS)})
+    return rows.withColumns({"of_program": P.row_matches(F.col("program"), F.col("marker"), PROGRAMS), "of_level": P.matches_asked(F.col("asked"), F.col("program"), F.col("marker"), PROGRAMS)})
 
 
 @query(

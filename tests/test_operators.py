@@ -8,6 +8,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from loomdex.functions import programs as P
+from loomdex.functions import questions as Q
 from loomdex.functions import records as R
 from loomdex.functions import text as T
 from loomdex.operators import chunking, documents, evaluation, incremental, retrieval, rules
@@ -237,3 +239,22 @@ def test_groundedness_of_a_long_answer(spark):
     row = df.select(evaluation.groundedness(F.col("a"), F.array("e")).alias("g"), evaluation.containment(F.col("a"), F.col("e"), 3).alias("c"), F.size(T.shingles(T.token_list(F.col("a")), 5)).alias("s")).head()
     assert (row.g, row.c, row.s) == (2997 / 5997, 2998 / 5998, 5996)
     assert time.time() - began < 20
+
+
+def evaluations(df, pattern):
+    """How often a part of an expression stands in the optimised plan."""
+    return df._jdf.queryExecution().optimizedPlan().expressions().mkString("\n").count(pattern)
+
+
+def test_forms_and_intents_are_made_once_a_question(spark):
+    programs = (P.Program("cse", "Computer Science and Engineering", ("computer science", "cse"), "undergraduate"), P.Program("civil", "Civil Engineering", ("civil", "ce"), "undergraduate"))
+    df = spark.createDataFrame([("fees of M.Sc. in CSE",), ("the CE & computer science",), (None,)], "q string")
+    q = F.col("q")
+    named = df.select("q", P.single(P.named_programs(q, programs)).alias("m"))
+    assert [r.m for r in named.collect()] == ["cse", "cse", None]
+    assert evaluations(named, "master(?:") == 1
+    rows = df.select(P.level_matches(q, F.lit("M.Sc in CSE"), F.lit("cse"), programs), P.row_matches(F.lit("CSE (x)"), F.lit("cse"), programs), P.degree_level(q))
+    assert [tuple(r) for r in rows.collect()] == [(True, False, "postgraduate"), (False, False, None), (False, False, None)]
+    facts = df.select(Q.fact(q, F.lit(None).cast("string")).alias("f"))
+    assert [r.f for r in facts.collect()] == ["tuition", None, None]
+    assert evaluations(facts, "guarantee") == 1
