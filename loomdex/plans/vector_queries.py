@@ -101,8 +101,7 @@ def eligible_documents(spark: SparkSession, d: str) -> DataFrame:
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     emb = table(spark, d, "embeddings")
     queries = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    gold = queries.join(emb.select(F.col("vec_id").alias("id"), "label"), "label").where("query_id != id").select("query_id", "id")
-    return retrieval.ranking_metrics(_from_all(spark, d), gold).join(queries, "query_id")
+    return retrieval.class_metrics(_from_all(spark, d), emb.select(F.col("vec_id").alias("id"), "label"), queries).join(queries, "query_id")
 
 
 METRICS_SQL = f"""r AS (SELECT query_id, id, (label = own)::INT AS hit, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, own FROM ({FROM_ALL}) QUALIFY rank <= 10),

@@ -258,3 +258,30 @@ def test_forms_and_intents_are_made_once_a_question(spark):
     facts = df.select(Q.fact(q, F.lit(None).cast("string")).alias("f"))
     assert [r.f for r in facts.collect()] == ["tuition", None, None]
     assert evaluations(facts, "guarantee") == 1
+
+
+def test_metrics_by_class_are_those_of_listed_gold(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0, 1, 2, None])) for i in range(60)] + [(60, 9)]
+    classes = spark.createDataFrame(rows, "id long, label int")
+    queries = classes.where("id % 5 = 0").select(F.col("id").alias("query_id"), "label")
+    found = spark.createDataFrame([(q, i, r + 1) for q in range(0, 61, 5) for r, i in enumerate(rng.sample([x for x in range(61) if x != q], 10))], "query_id long, id long, rank int")
+    gold = queries.join(classes, "label").where("query_id != id").select("query_id", "id")
+    listed = retrieval.ranking_metrics(found, gold)
+    counted = retrieval.class_metrics(found, classes, queries)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_nearest_by_tiles(spark):
+    """Tiles smaller than the batch, equal vectors (ties go by id) and fewer rows than k."""
+    rng = random.Random(4)
+    some = [[rng.choice([-1.0, 1.0, 2.0]) for _ in range(3)] for _ in range(12)]
+    rows = [(i, some[rng.randrange(12)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    queries = lambda n: df.where(f"vec_id < {n}").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    found = {(r.query_id, r["rank"]): r.id for r in retrieval.nearest_to_each(df, queries(300), 4).collect()}
+    for q in range(0, 300, 37):
+        best = sorted((i for i, _ in rows if i != q), key=lambda i: (-round(cos(rows[q][1], rows[i][1]), 9), i))[:4]
+        assert [found[q, r] for r in (1, 2, 3, 4)] == best
+    assert retrieval.nearest_to_each(df.where("vec_id < 3"), queries(3), 4).count() == 6
