@@ -285,3 +285,13 @@ def test_nearest_by_tiles(spark):
         best = sorted((i for i, _ in rows if i != q), key=lambda i: (-round(cos(rows[q][1], rows[i][1]), 9), i))[:4]
         assert [found[q, r] for r in (1, 2, 3, 4)] == best
     assert retrieval.nearest_to_each(df.where("vec_id < 3"), queries(3), 4).count() == 6
+
+
+def test_near_pairs_deal_out_all_shingles_once(spark):
+    """And shingles of one set alone, though left out, still take its first places."""
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (3, text + " more"), (4, " ".join(f"v{i}" for i in range(80)))], "doc_id long, text string")
+    pairs = documents.near_pairs(df, 0.9)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(1, 3)]
+    aggregates = pairs._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Aggregate [s#" in x for x in aggregates)  # counted where they are, not joined with a count
