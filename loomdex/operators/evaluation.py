@@ -53,15 +53,13 @@ def containment(answer: Column, evidence: Column, n: int) -> Column:
 
 def groundedness(answer: Column, evidence: Column, n: int = 4) -> Column:
     """Share of the answer's distinct word n-grams that any text of an array holds; n shrinks to the answer's length. Nothing: 0."""
-    runs = lambda w, width: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
 
-    def share(a: Column) -> Column:
-        width = F.greatest(F.least(F.lit(n), F.size(a)), F.lit(1))
-        held = F.flatten(F.transform(evidence, lambda t: bound(T.word_list(t), lambda w: runs(w, width))))
+    def share(a: Column, width: Column) -> Column:
+        held = F.flatten(F.transform(evidence, lambda t: bound(T.word_list(t), lambda w: T.runs(w, width, n))))
         part = lambda own: F.try_divide(F.size(F.array_intersect(own, held)).cast("double"), F.size(own).cast("double"))
-        return F.when(F.size(a) > 0, F.coalesce(bound(F.array_distinct(runs(a, width)), part), F.lit(0.0))).otherwise(F.lit(0.0))
+        return F.when(F.size(a) > 0, F.coalesce(bound(F.array_distinct(T.runs(a, width, n)), part), F.lit(0.0))).otherwise(F.lit(0.0))
 
-    return bound(T.word_list(answer), share)
+    return bound(T.word_list(answer), lambda a: bound(F.greatest(F.least(F.lit(n), F.size(a)), F.lit(1)), lambda width: share(a, width)))
 
 
 def domain_adherence(refused: Column, expected: Column) -> Column:

@@ -241,6 +241,22 @@ def test_groundedness_of_a_long_answer(spark):
     assert time.time() - began < 20
 
 
+def test_groundedness_of_many_answers(spark):
+    """Runs of words are looked up by place, not sliced out of the list; shares are those of sets of runs."""
+    rng = random.Random(6)
+    text = lambda most: " ".join(rng.choices("abc", k=rng.randrange(most)))
+    rows = [(i, text(12), [None if rng.random() < 0.1 else text(30) for _ in range(rng.randrange(3))]) for i in range(200)] + [(200, None, ["a"])]
+    df = spark.createDataFrame(rows, "i int, a string, e array<string>")
+    for n in (1, 3, 4):
+        shares = df.select("i", evaluation.groundedness(F.col("a"), F.col("e"), n).alias("g"))
+        assert "slice(" not in shares._jdf.queryExecution().optimizedPlan().expressions().mkString()
+        found = {r.i: r.g for r in shares.collect()}
+        for i, a, e in rows:
+            k = min(n, len((a or "").split())) or 1
+            own, held = ({tuple(w[j : j + k]) for w in (t.split() for t in texts if t) for j in range(len(w) - k + 1)} for texts in ([a], e))
+            assert found[i] == (len(own & held) / len(own) if own else 0)
+
+
 def evaluations(df, pattern):
     """How often a part of an expression stands in the optimised plan."""
     return df._jdf.queryExecution().optimizedPlan().expressions().mkString("\n").count(pattern)
