@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loomdex.plans import catalog
 
@@ -36,3 +37,10 @@ def test_query_without_sql_runs(spark, name):
 
 def test_flagship(spark):
     assert catalog.flagship(spark, SF).count() == 10
+
+
+def test_pairs_of_one_small_file_go_to_several_tasks(spark, tmp_path):
+    own = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet").crossJoin(spark.range(4))
+    own.withColumn("conv_id", F.col("conv_id") + 1_000_000 * F.col("id")).drop("id").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = catalog.queries()["answer_support"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 4 * 2121 and len({r.task for r in rows}) > 2
